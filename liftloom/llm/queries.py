@@ -30,6 +30,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import lm_scores
+
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import language_id
 
@@ -61,7 +67,7 @@ def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_license_scan, op2_exact_dedup, op5_language_id, op7_hilbert_neighbours, op8_bpe, op9_secret_scan, op10_poisson_mixing)
+    found = (op1_license_scan, op2_exact_dedup, op4_backoff_lm, op5_language_id, op7_hilbert_neighbours, op8_bpe, op9_secret_scan, op10_poisson_mixing)
     return {f.__name__: f for f in found}
 
 
