@@ -30,6 +30,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import lm_scores
 
@@ -67,7 +73,7 @@ def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_license_scan, op2_exact_dedup, op4_backoff_lm, op5_language_id, op7_hilbert_neighbours, op8_bpe, op9_secret_scan, op10_poisson_mixing)
+    found = (op1_license_scan, op2_exact_dedup, op3_jaccard_join, op4_backoff_lm, op5_language_id, op7_hilbert_neighbours, op8_bpe, op9_secret_scan, op10_poisson_mixing)
     return {f.__name__: f for f in found}
 
 
