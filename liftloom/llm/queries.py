@@ -48,6 +48,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(documents(spark, sf_dir))
+
+
 def op7_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import nearest_neighbours
 
@@ -73,7 +79,7 @@ def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_license_scan, op2_exact_dedup, op3_jaccard_join, op4_backoff_lm, op5_language_id, op7_hilbert_neighbours, op8_bpe, op9_secret_scan, op10_poisson_mixing)
+    found = (op1_license_scan, op2_exact_dedup, op3_jaccard_join, op4_backoff_lm, op5_language_id, op6_suffix_dedup, op7_hilbert_neighbours, op8_bpe, op9_secret_scan, op10_poisson_mixing)
     return {f.__name__: f for f in found}
 
 
