@@ -197,9 +197,11 @@ def _codec(spec: str) -> Codec:
     return _codecs[key]
 
 
-def bpe_codes(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
+def bpe_codes(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", full: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per document; with ``full`` also ids array<int> and decoded string.
 
+    ``keep`` names further columns of ``docs`` to carry through (none named like a result).
+
     ``vocabulary`` is a path that the driver reads.
     """
     with open(vocabulary, encoding="utf-8") as f:
@@ -227,7 +229,10 @@ def bpe_codes(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
                 if full:
                     columns += [pa.array(ids_out, pa.list_(pa.int32())), pa.array(said, pa.string())]
                     names += ["ids", "decoded"]
+                columns += [batch.column(2 + i).slice(lo, 512) for i in range(len(keep))]
+                names += keep
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(work, schema)
+    schema += "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), *keep).mapInArrow(work, schema)

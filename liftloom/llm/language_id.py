@@ -135,8 +135,12 @@ def fold(id_column: Column, folds: int = 5) -> Column:
 def fit_language_model(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Discriminator:
     """Fit on the rows outside fold 0 that have a language."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").distinct().withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_language).drop("at")
+    # First the smallest of each of many parts of a language, so that a frequent one is not dealt to one task.
+    chosen = labelled.select("doc_id", "lang").distinct().withColumn("draw", F.xxhash64("doc_id")).withColumn("part", F.pmod("draw", F.lit(256)))
+    for by in (["lang", "part"], ["lang"]):
+        order = Window.partitionBy(*by).orderBy("draw", "doc_id")
+        chosen = chosen.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_language)
+    chosen = chosen.select("doc_id", "lang")
     rows = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])  # at most per_language rows of each language
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,6 +175,22 @@ def identify(docs: DataFrame, model: Discriminator) -> DataFrame:
     return rows.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Discriminator, least_score: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language and at least ``least_score``."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    text = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pc.fill_null(pc.match_substring_regex(batch.column(text), r"\p{L}"), False).to_numpy(zero_copy_only=False).copy()
+            if least_score > 0:
+                for lo, hi, data, at in C.chunks(batch.column(text)):
+                    keep[lo:hi] &= sent.value.predict(features(data, at))[1] >= least_score
+            yield batch.filter(pa.array(keep & bool(sent.value.languages)))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def language_id(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     return identify(docs, fit_language_model(docs, per_language))
