@@ -285,15 +285,51 @@ def passes(bits: np.ndarray, size: int, keys: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- components
 
+LOCAL_EDGES = 1 << 20
+
+
+def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node that it reaches) for all ends of the edges."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[x], root[y])
+        before = root.copy()
+        np.minimum.at(root, root[x], least)
+        np.minimum.at(root, root[y], least)
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+        if np.array_equal(root, before):
+            return nodes, nodes[root]
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` (a, b) reaches.
 
-    Large-star and small-star rounds: every node hands its neighbours to the least of them, until
-    nothing changes; a logarithmic number of rounds.  Each round is written to the shared folder.
-    A node with many neighbours is grouped by partial minima only and never gathered.
+    Edges are gathered in tasks of at most ``LOCAL_EDGES``, which contract them to stars; a single task is the
+    whole answer.  With more edges, large-star and small-star rounds follow: every node hands
+    its neighbours to the least of them, until nothing changes, in a logarithmic number of rounds, each
+    written to the shared folder.  A node with many neighbours is grouped by partial minima and never gathered.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_a, held_b = [], []
+        for batch in batches:
+            held_a.append(batch.column(0).to_numpy())
+            held_b.append(batch.column(1).to_numpy())
+        if held_a:
+            node, root = contract(np.concatenate(held_a), np.concatenate(held_b))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "component"])
+
+    start = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b"))
+    count = start.count()
+    tasks = max(1, -(-count // LOCAL_EDGES))
+    found = cut(start.coalesce(tasks).mapInArrow(stars, "node long, component long"))
+    if tasks == 1:
+        return found
+    now = found.select(F.col("node").alias("u"), F.col("component").alias("v")).where("u <> v").distinct()
+    now = cut(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

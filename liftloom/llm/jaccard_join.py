@@ -13,8 +13,8 @@ a Jaccard distance of at most 0.25.  The join is exact and runs in these steps:
    distances to its pivot: whoever is within 0.25 links.  By the triangle inequality a member at
    distance d only links with others in the window [d - 0.25, d + 0.25]; boundary documents whose
    window reaches beyond the pivot's ball stay with those outside, which are joined recursively with a pivot of their own.
-4. A region of over ``REGION`` classes is dealt out in chunks that each get the pivot; those that remain after the
-   first distances are joined chunk against chunk.
+4. A region of over ``REGION`` classes is dealt out in chunks that each get the pivot and are joined
+   alike; classes that are not connected with the pivot then are joined, chunk by chunk, with all in their window.
 5. The links' components are found by star contraction.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing.  Fewer than five words
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WIDTH, LIKE, SHARED = 5, 75, 4
-SMALL_LIST, REGION, FREQUENT = 24, 256, 16
+SMALL_LIST, REGION, FREQUENT, FEW_REGIONS = 64, 256, 4, 100_000
 ONE = np.uint64(1)
 
 
@@ -294,83 +294,83 @@ def _distinct(rows: pa.Table) -> pa.Table:
     return rows.take(pa.array(np.flatnonzero(np.concatenate([[True], reps[1:] != reps[:-1]]))))
 
 
-def join_small(table: pa.Table) -> pa.Table:
-    """Links within whole regions."""
-    links = []
-    for p, _, rows in _regions(table):
-        rows = _distinct(rows)
-        reps = rows.column("rep").to_numpy()
-        region = Region(reps, rows.column("items").to_pylist())
-        own = np.flatnonzero(rows.column("x").to_numpy() == p)
-        links += region.join(int(own[0]) if len(own) else 0)
-    return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
-
-
-def measure(table: pa.Table) -> pa.Table:
-    """(p, rep, pivot, linked, d) of the members of one chunk of a large region."""
+def solve(table: pa.Table) -> pa.Table:
+    """Links (a, b) within regions, or within the chunks of large ones; for those also (p, a, pivot b, distance d)."""
     out: list[tuple] = []
     for p, _, rows in _regions(table):
+        large = rows.column("m")[0].as_py() > REGION
         rows = _distinct(rows)
         reps = rows.column("rep").to_numpy()
+        if len(reps) < 2:
+            continue
+        region = Region(reps, rows.column("items").to_pylist())
         own = np.flatnonzero(rows.column("x").to_numpy() == p)
-        if len(own) and len(reps) > 1:
-            region = Region(reps, rows.column("items").to_pylist())
-            others = np.delete(np.arange(len(reps)), own[0])
-            linked, d = region.against(int(own[0]), others)
-            out += zip([p] * len(others), reps[others].tolist(), [int(reps[own[0]])] * len(others), linked.tolist(), d.tolist(), strict=True)
-    columns = list(zip(*out, strict=True)) or [[]] * 5
-    kinds = [("p", pa.int64()), ("rep", pa.int64()), ("pivot", pa.int64()), ("linked", pa.bool_()), ("d", pa.float64())]
+        pivot = int(own[0]) if len(own) else 0
+        out += [(None, a, b, None) for a, b in region.join(pivot)]
+        if large:
+            others = np.delete(np.arange(len(reps)), pivot)
+            _, d = region.against(pivot, others)
+            out += zip([p] * len(others), reps[others].tolist(), [int(reps[pivot])] * len(others), d.tolist(), strict=True)
+    columns = list(zip(*out, strict=True)) or [[]] * 4
+    kinds = [("p", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("d", pa.float64())]
     return pa.table({n: pa.array(c, t) for (n, t), c in zip(kinds, columns, strict=True)})
 
 
 def join_chunks(table: pa.Table) -> pa.Table:
-    """Links within and between the chunks that meet here; those linked to the first pivot are known to be connected."""
+    """Links between the chunks that meet here; ``joined`` marks those known to be connected with the pivot."""
     links = []
     for _, _, rows in _regions(table):
         rows = _distinct(rows)
         region = Region(rows.column("rep").to_numpy(), rows.column("items").to_pylist())
-        joined = rows.column("linked").to_numpy(zero_copy_only=False).astype(bool)
-        far = np.flatnonzero(~joined)
-        if len(far):
-            links += region.join(int(far[0]), joined)
+        joined = rows.column("joined").to_numpy(zero_copy_only=False).astype(bool)
+        apart = np.flatnonzero(~joined)
+        if len(apart):
+            links += region.join(int(apart[0]), joined)
     return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
 
 def links_of(docs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): links between the documents that stand for classes; they connect exactly the classes that links connect."""
-    spark = docs.sparkSession
+    """(node, component) of the documents that stand for classes and have links."""
     total = members.count()
+    batches = max(C.n_blocks(docs.sparkSession), -(-2 * total // 4096))
+    columns = ["p", "x", "rep", "items", "chunk", "m"]
     sizes = C.cut(members.groupBy("p").agg(F.count(F.lit(1)).alias("m")))
-    rows = C.attach(members, sizes, "p", "m", total).unionByName(sizes.select("p", F.col("p").alias("x"), "m"))
-    named = C.cut(rows.join(classes.select(F.col("id").alias("x"), "rep", "sig"), "x"))
-    sets = fetch_sets(docs, named.select("rep").distinct())
-    full = named.join(sets, ["rep", "sig"])
+    large = sizes.where(F.col("m") > REGION)
+    few = large.count() <= FEW_REGIONS
+    rows = members.join(F.broadcast(large) if few else large, "p", "left").unionByName(sizes.select("p", F.col("p").alias("x"), "m"))
+    named = C.cut(rows.withColumn("m", F.coalesce("m", F.lit(1))).join(classes.select(F.col("id").alias("x"), "rep", "sig"), "x"))
+    full = named.join(fetch_sets(docs, named.select("rep").distinct()), ["rep", "sig"])
     chunks = F.greatest(F.lit(1), F.ceil(F.col("m") / REGION)).cast("int")
     each = F.when(F.col("x") == F.col("p"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("x"), chunks).cast("int")))
-    batches = max(C.n_blocks(spark), -(-2 * total // 4096))
-    columns = ["p", "x", "rep", "items", "chunk"]
     placed = full.withColumn("chunk", F.explode(each)).withColumn("grp", F.pmod(F.xxhash64("p", "chunk"), F.lit(batches)))
-    small = placed.where(F.col("m") <= REGION).select("grp", *columns).groupBy("grp").applyInArrow(join_small, "a long, b long")
-    if sizes.where(F.col("m") > REGION).isEmpty():
-        return small
-    measured = C.cut(placed.where(F.col("m") > REGION).select("grp", *columns).groupBy("grp").applyInArrow(measure, "p long, rep long, pivot long, linked boolean, d double"))
-    links = small.unionByName(measured.where("linked").select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
-    least = measured.where("not linked").groupBy("p").agg(F.min("d").alias("least"), F.count(F.lit(1)).alias("far"))
-    least = C.cut(least)
-    if least.isEmpty():
-        return links
-    rest = C.attach(measured, least.withColumn("m", F.col("far")), "p", "m", max(1, measured.count())).where(F.col("least").isNotNull())
-    rest = C.cut(rest.where(~F.col("linked") | (F.col("d") + (1 - LIKE / 100 + 1e-9) >= F.col("least"))).select("p", "rep", "linked"))
-    left = C.cut(rest.groupBy("p").agg(F.count(F.lit(1)).alias("m")))
-    again = C.attach(rest, left, "p", "m", max(1, rest.count()))
+    solved = C.cut(placed.select("grp", *columns).groupBy("grp").applyInArrow(solve, "p long, a long, b long, d double"))
+    links = solved.where("p is null").select("a", "b")
+    labels = C.components(links)
+    measured = solved.where("p is not null").select("p", F.col("a").alias("rep"), F.col("b").alias("pivot"), "d")
+    if measured.isEmpty():
+        return labels
+    # Between the chunks of a large region: whoever is not connected with the pivot yet, against all in reach.
+    mine = labels.select(F.col("node").alias("rep"), F.col("component").alias("own"))
+    pivots = labels.select(F.col("node").alias("pivot"), F.col("component").alias("theirs"))
+    state = measured.join(mine, "rep", "left").join(pivots, "pivot", "left")
+    state = C.cut(state.withColumn("joined", F.coalesce("own", "rep") == F.coalesce("theirs", "pivot")).select("p", "rep", "d", "joined"))
+    least = C.cut(state.where(~F.col("joined")).groupBy("p").agg(F.min("d").alias("least")))
+    n = least.count()
+    if n == 0:
+        return labels
+    rest = state.join(F.broadcast(least) if n <= FEW_REGIONS else least, "p").where(~F.col("joined") | (F.col("d") + (1 - LIKE / 100 + 1e-9) >= F.col("least")))
+    rest = C.cut(rest.select("p", "rep", "joined"))
+    left = rest.groupBy("p").agg(F.count(F.lit(1)).alias("m"))
+    again = rest.join(F.broadcast(left) if n <= FEW_REGIONS else left, "p")
     parts = F.ceil(F.col("m") / REGION).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), parts).cast("int")
+    at = F.pmod(F.xxhash64("rep"), parts).cast("int")
     # chunk i meets chunk j in the group i * parts + j with i <= j
-    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(mine, j) * parts + F.greatest(mine, j))
+    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(at, j) * parts + F.greatest(at, j))
     again = again.withColumn("chunk", F.explode(pairs)).withColumn("x", F.col("rep"))
     again = again.join(fetch_sets(docs, rest.select("rep").distinct()), "rep")
     again = again.withColumn("grp", F.pmod(F.xxhash64("p", "chunk"), F.lit(batches)))
-    return links.unionByName(again.select("grp", *columns, "linked").groupBy("grp").applyInArrow(join_chunks, "a long, b long"))
+    more = again.select("grp", *columns, "joined").groupBy("grp").applyInArrow(join_chunks, "a long, b long")
+    return C.components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -384,7 +384,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bits, size = C.membership(frequent, "shingle", frequent.count())
     classes = C.cut(rows.where("sig is not null and doc_id is not null").groupBy("sig", "id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     members = C.cut(region_members(postings(docs, bits, size, blocks), blocks))
-    labels = C.components(links_of(docs, members, classes))
+    labels = links_of(docs, members, classes)
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select("sig", "copies", F.coalesce("component", "rep").alias("component"))
     named = C.cut(named)
     out = C.attach(rows.withColumn("sig", F.when(F.col("doc_id").isNotNull(), F.col("sig"))), named, "sig", "copies", rows.count())
