@@ -84,4 +84,12 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import oracles
+
+    return {
+        "op2_exact_dedup": oracles.EXACT_DEDUP,
+        "op3_jaccard_join": oracles.JACCARD_JOIN,
+        "op6_suffix_dedup": oracles.SUFFIX_DEDUP,
+        "op9_secret_scan": oracles.SECRET_SCAN,
+        "op10_poisson_mixing": oracles.POISSON_MIXING,
+    }
