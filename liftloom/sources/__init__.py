@@ -1 +1 @@
-"""Sources of the uplift engine."""
+"""Reading tables and keeping models."""
