@@ -12,6 +12,7 @@ import pandas as pd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..frame import CausalFrame
 from ..functions.causal import aipw_outcome, max_features, transformed_outcome
@@ -262,7 +263,7 @@ class FittedForest(FittedUplift):
                     pdf[f"_y{a}"] = summary(sent.value._tree_values(a, x))
                 yield pdf
 
-        schema = df.schema
+        schema = StructType(list(df.schema.fields))
         for a in arms:
             schema = schema.add(f"_y{a}", "double")
         return df.mapInPandas(work, schema)
@@ -379,10 +380,11 @@ class CausalForest:
             draw = lambda k: F.pmod(F.xxhash64("_id", "tree", F.lit(self.seed + k)), F.lit(1 << 20)) / float(1 << 20)
             copies = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.n_estimators - 1)))).withColumn("half", (draw(1) < 0.5).cast("int")).where(draw(2) < share)
             settings = self
+            arm_seed = arm
 
-            def grow(pdf: pd.DataFrame, settings=settings, arm=arm) -> pd.DataFrame:
+            def grow(pdf: pd.DataFrame) -> pd.DataFrame:
                 pdf = pdf.sort_values("_id")
-                rng = np.random.default_rng([settings.seed, arm, int(pdf["tree"].iloc[0])])
+                rng = np.random.default_rng([settings.seed, arm_seed, int(pdf["tree"].iloc[0])])
                 honest = settings.honest and len(pdf) >= 4
                 build, judge = (pdf[pdf["half"] == 0], pdf[pdf["half"] == 1]) if honest else (pdf, pdf)
                 if honest and (not len(build) or not len(judge)):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation
+from . import evaluation, extras, modelling
 
-MODULES = (evaluation,)
+MODULES = (evaluation, modelling, extras)
 
 
 def queries() -> dict:

@@ -1 +1 @@
-"""Streaming of the uplift engine."""
+"""Structured Streaming over fitted models and policies."""
