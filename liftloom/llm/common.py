@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 FLUSH_ENTRIES = 1 << 20
 U64 = np.uint64
 
@@ -73,6 +73,22 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     return large.unionByName(rest)
 
 
+ARROW_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session set to hand at most ``ARROW_ROWS`` rows at a time to Python.
+
+    Texts are long: batches of Spark's 10,000 rows cost each task over 100 MB outside the heap.
+    A smaller setting of the session is kept.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= ARROW_ROWS:
+        conf.set(key, str(ARROW_ROWS))
+    return df
+
+
 # ---------------------------------------------------------------- hashing
 
 
@@ -214,6 +230,18 @@ def unpack(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
     return np.concatenate(parts).view(dtype) if parts else np.zeros(0, dtype)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of an array, first bytes of all values first: the even high bytes of small numbers compress away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def unplanes(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
+    """The values of all rows that ``planes`` made."""
+    width = np.dtype(dtype).itemsize
+    parts = [np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(width, -1).T).view(dtype).ravel() for x in column if x.is_valid and len(x.as_buffer())]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+
 def per_block(df: DataFrame, work: Callable[[pa.Table], Iterator[pa.Table] | pa.Table], schema: str) -> DataFrame:
     """``work`` on the rows of each block."""
     return df.groupBy("block").applyInArrow(work, schema)

@@ -11,8 +11,8 @@ share does not gather in one block.
 Merging.  In a block, equal pieces collapse into one that keeps the least id.  The different pieces
 that share a minimizer are dealt into shards; each shard's suffixes are sorted once and give its
 Burrows-Wheeler transform.  The transforms are merged by refining their interleave: from the order by the first
-k symbols, one stable pass over the symbols before each suffix gives the order by k + 1.  Borders
-between unequal neighbours are carried along, so after ``SPAN`` passes the runs without a border are the intervals
+k symbols, one stable pass over the two symbols before each suffix gives the order by k + 2.  Borders
+between unequal neighbours are carried along, so after ``SPAN / 2`` passes the runs without a border are the intervals
 of suffixes with a common prefix of ``SPAN`` bytes, without sorting the suffixes of all shards again.
 
 Defined cases: a null text is empty; texts of under ``SPAN`` bytes lose nothing.  A text equal to one
@@ -32,14 +32,15 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SPAN, GRAM = 50, 16
+SPAN, GRAM = 50, 24
 GRAMS = SPAN - GRAM + 1
 SHARDS = 4
+FLUSH_BYTES, MERGE_BYTES, SKIPPED = 1 << 21, 1 << 20, 1 << 21
 STOP = 0xFF  # no byte of UTF-8
 
 
 def minimizer_runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer, first window, windows) of each run of consecutive windows of one text with one minimizer."""
+    """(minimizer's hash, first window, windows) of each run of consecutive windows of one text with one minimizer."""
     none = np.zeros(0, np.int64)
     if len(data) < SPAN:
         return none.astype(np.uint64), none, none
@@ -65,73 +66,99 @@ def minimizer_runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
         step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         start, stop = np.repeat(start, pieces) + step * GRAMS, np.repeat(stop, pieces)
         count = np.minimum(stop - start, GRAMS)
-    return least[start], start, count
+    # Minimizers are small hashes; mixed again they spread evenly over blocks.
+    return C.mix(~least[start]), start, count
 
 
-def describe(docs: DataFrame, blocks: int) -> DataFrame:
-    """Rows (doc_id, n_bytes, sig) and, apart, packed minimizers (block, keys, several)."""
+def describe(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, sig): the SHA-256 of each text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sig", pa.binary()), ("block", pa.int32()), ("keys", pa.binary()), ("several", pa.binary())])
-        seen: set[bytes] = set()
-        held: list[np.ndarray] = []
-        size = 0
+        for batch in batches:
+            data, at = C.string_parts(batch.column(1))
+            sigs = [hashlib.sha256(data[a:b]).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(sigs, pa.binary())], names=["doc_id", "n_bytes", "sig"])
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            rows = list(C.packed(blocks, keys, counts > 1))
-            n = len(rows)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1][0] for r in rows], pa.binary()), pa.array([r[1][1] for r in rows], pa.binary())], schema=schema)
+    return docs.mapInArrow(work, "doc_id long, n_bytes long, sig binary")
 
-        for batch in batches:
-            sigs = []
-            for lo, hi, data, at in C.chunks(batch.column(1)):
-                raw = data.tobytes()
-                named = [hashlib.sha256(raw[a:b]).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                sigs += named
-                keys, start, _ = minimizer_runs(data, at)
-                text = np.searchsorted(at, start, "right") - 1
-                fresh = np.zeros(hi - lo, bool)
-                for i, name in enumerate(named):
-                    if name not in seen:
-                        seen.add(name)
-                        fresh[i] = True
-                some = fresh[text]
-                if some.any():
-                    # once for each text
-                    order = np.lexsort((text[some], keys[some]))
-                    k, t = keys[some][order], text[some][order]
-                    first = np.ones(len(k), bool)
-                    first[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
-                    held.append(k[first])
-                    size += int(first.sum())
-                    if size > 4 * C.FLUSH_ENTRIES:
-                        yield from flush()
-                        held.clear()
-                        size = 0
-            _, offs = C.string_parts(batch.column(1))
-            n = len(batch)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offs)), pa.array(sigs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=schema)
-        if held:
-            yield from flush()
 
-    return docs.mapInArrow(work, "doc_id long, n_bytes long, sig binary, block int, keys binary, several binary")
+def copies_of(rows: DataFrame, same: DataFrame) -> np.ndarray:
+    """Sorted ids of documents equal to one with a smaller id, if they number at most ``SKIPPED``; else none.
 
+    They lose everything whatever else repeats, so leaving them out of the search only spares work.
+    """
+    least = rows.where("doc_id is not null").join(same.select("sig", "least"), "sig", "left")
+    gone = C.cut(least.groupBy("doc_id").agg(F.bool_and(F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))).alias("gone")).where("gone").select("doc_id"))
+    if gone.count() > SKIPPED:
+        return np.zeros(0, np.int64)
+    return np.sort(np.array([r.doc_id for r in gone.toLocalIterator()], np.int64))
 
-def repeated_minimizers(described: DataFrame) -> DataFrame:
+
+def without(batch: pa.RecordBatch, skip: np.ndarray) -> pa.RecordBatch:
+    ids = batch.column(0).to_numpy(zero_copy_only=False)
+    if not len(skip) or not len(ids):
+        return batch
+    at = np.minimum(np.searchsorted(skip, ids), len(skip) - 1)
+    return batch.filter(pa.array(skip[at] != ids))
+
+
+def minimizers(docs: DataFrame, skip, blocks: int) -> DataFrame:
+    """Packed minimizers (block, keys, several) of each task; ``several``: in two texts or more."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            seen: set[bytes] = set()
+            held: list[np.ndarray] = []
+            size = 0
+
+            def flush():
+                keys, counts = np.unique(np.concatenate(held), return_counts=True)
+                yield from C.packed(blocks, keys, counts > 1)
+
+            for batch in batches:
+                for lo, hi, data, at in C.chunks(without(batch, skip.value).column(1)):
+                    fresh = np.zeros(hi - lo, bool)
+                    for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                        name = hashlib.sha256(data[a:b]).digest()
+                        if name not in seen:
+                            seen.add(name)
+                            fresh[i] = True
+                    keys, start, _ = minimizer_runs(data, at)
+                    text = np.searchsorted(at, start, "right") - 1
+                    some = fresh[text]
+                    if some.any():
+                        # once for each text
+                        order = np.lexsort((text[some], keys[some]))
+                        k, t = keys[some][order], text[some][order]
+                        first = np.ones(len(k), bool)
+                        first[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
+                        held.append(k[first])
+                        size += int(first.sum())
+                        if size > C.FLUSH_ENTRIES:
+                            yield from flush()
+                            held.clear()
+                            size = 0
+            if held:
+                yield from flush()
+
+        yield from C.block_batches(rows(), ["keys", "several"])
+
+    return docs.where("doc_id is not null").mapInArrow(work, "block int, keys binary, several binary")
+
+
+def repeated_minimizers(packed: DataFrame) -> DataFrame:
     def merge(table: pa.Table) -> pa.Table:
         keys, times = C.sum_by_key(C.unpack(table.column("keys"), np.uint64), 1 + C.unpack(table.column("several"), np.uint8).astype(np.int64))
         return pa.table({"minimizer": keys[times > 1].view(np.int64)})
 
-    return C.per_block(described.where("block is not null").select("block", "keys", "several"), merge, "minimizer long")
+    return C.per_block(packed, merge, "minimizer long")
 
 
 class Pieces:
     """Pieces of text with the document, text and place that they come from."""
 
     COLUMNS = ("anchor", "doc", "tid", "start", "count")
-    TYPES = (np.uint64, np.int64, np.uint64, np.int64, np.uint8)
+    TYPES = (np.uint64, np.int64, np.uint32, np.uint32, np.uint8)
 
     def __init__(self, anchor, doc, tid, start, count, data):
         self.anchor, self.doc, self.tid, self.start, self.count, self.data = anchor, doc, tid, start, count, data
@@ -144,9 +171,14 @@ class Pieces:
 
     def contents(self) -> np.ndarray:
         """A hash of minimizer and bytes."""
-        h = C.prefix_hash(self.data)
-        _, inverse = C.powers(len(self.data) + 1)
-        return C.mix((h[self.ends] - h[self.begins]) * inverse[self.begins] ^ C.mix(self.anchor + self.count))
+        out = np.empty(len(self.doc), np.uint64)
+        for a, b in C.slices(np.concatenate([[0], self.ends])):
+            lo = int(self.begins[a])
+            h = C.prefix_hash(self.data[lo : int(self.ends[b - 1])])
+            _, inverse = C.powers(len(h))
+            begins, ends = self.begins[a:b] - lo, self.ends[a:b] - lo
+            out[a:b] = (h[ends] - h[begins]) * inverse[begins]
+        return C.mix(out ^ C.mix(self.anchor + self.count))
 
     def holders(self) -> tuple[np.ndarray, np.ndarray]:
         """(rows in order of content, document and place; whether a smaller document has the row's content)."""
@@ -168,7 +200,7 @@ def _cut(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return data[np.arange(total) + shift]
 
 
-def pieces_of(docs: DataFrame, bits: np.ndarray, size: int, blocks: int) -> DataFrame:
+def pieces_of(docs: DataFrame, skip, bits: np.ndarray, size: int, blocks: int) -> DataFrame:
     """Packed pieces (block, and the columns of Pieces), and packed findings that a task made itself (block null)."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
     names = [*Pieces.COLUMNS, "data"]
@@ -185,7 +217,7 @@ def pieces_of(docs: DataFrame, bits: np.ndarray, size: int, blocks: int) -> Data
             rows = []
             if later.any():
                 some = order[later]
-                rows.append((None, b"", every.doc[some].tobytes(), every.tid[some].tobytes(), every.start[some].tobytes(), every.count[some].tobytes(), b""))
+                rows.append((None, b"", *(C.planes(getattr(every, c)[some]) for c in Pieces.COLUMNS[1:]), b""))
             sent_rows = order[~later]
             sent_rows = sent_rows[np.argsort(every.anchor[sent_rows], kind="stable")]
             block = C.to_block(every.anchor[sent_rows], blocks)
@@ -193,10 +225,11 @@ def pieces_of(docs: DataFrame, bits: np.ndarray, size: int, blocks: int) -> Data
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block)], strict=True):
                 if b > a:
                     p = every.take(sent_rows[a:b])
-                    rows.append((int(block[a]), *(getattr(p, c).tobytes() for c in names)))
+                    rows.append((int(block[a]), *(C.planes(getattr(p, c)) for c in Pieces.COLUMNS), p.data.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
+            batch = without(batch, skip.value)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, data, at in C.chunks(batch.column(1)):
                 keys, start, count = minimizer_runs(data, at)
@@ -205,11 +238,11 @@ def pieces_of(docs: DataFrame, bits: np.ndarray, size: int, blocks: int) -> Data
                     continue
                 keys, start, count = keys[some], start[some], count[some]
                 text = np.searchsorted(at, start, "right") - 1
-                tids = np.zeros(hi - lo, np.uint64)
+                tids = np.zeros(hi - lo, np.uint32)
                 use = np.zeros(hi - lo, bool)
                 for i in np.unique(text).tolist():
                     name = hashlib.sha256(data[at[i] : at[i + 1]].tobytes()).digest()
-                    tids[i] = int.from_bytes(name[:8], "little")
+                    tids[i] = int.from_bytes(name[:4], "little")
                     doc = int(ids[lo + i])
                     # of equal texts only the least id of the task so far matters
                     if doc < seen.get(name, doc + 1):
@@ -218,9 +251,9 @@ def pieces_of(docs: DataFrame, bits: np.ndarray, size: int, blocks: int) -> Data
                 keep = np.flatnonzero(use[text])
                 if len(keep):
                     keys, start, count, text = keys[keep], start[keep], count[keep], text[keep]
-                    held.append(Pieces(keys, ids[lo + text].astype(np.int64), tids[text], start - at[text], count.astype(np.uint8), _cut(data, start, start + count + SPAN - 1)))
+                    held.append(Pieces(keys, ids[lo + text].astype(np.int64), tids[text], (start - at[text]).astype(np.uint32), count.astype(np.uint8), _cut(data, start, start + count + SPAN - 1)))
                     total += len(held[-1].data)
-                    if total > 1 << 24:
+                    if total > FLUSH_BYTES:
                         yield from flush()
                         held.clear()
                         total = 0
@@ -234,12 +267,12 @@ def pieces_of(docs: DataFrame, bits: np.ndarray, size: int, blocks: int) -> Data
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """Rotations of a cyclic text in order, by doubling the compared length."""
     n = len(text)
-    rank = text.astype(np.int64)
-    for k in range(1, 6):  # the first six symbols at once
-        rank = rank * 256 + np.roll(text, -k)
-    width = 6
+    rank = text.astype(np.uint64)
+    for k in range(1, 8):  # the first eight symbols at once
+        rank = (rank << np.uint64(8)) | np.roll(text, -k)
+    width = 8
     while True:
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         new = np.ones(n, bool)
         new[1:] = rank[order[1:]] != rank[order[:-1]]
         place = np.empty(n, np.int64)
@@ -253,15 +286,17 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
 def merged_intervals(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(shard, interval) of each place in the order of all shards' suffixes by their first ``depth`` symbols.
 
-    Suffixes of one interval agree in ``depth`` symbols.  The suffixes of a shard keep their order,
-    so the j-th place of a shard is its j-th suffix.
+    A transform gives for each suffix of its shard the two symbols before it as one number, so a
+    pass leads from the order by k symbols to that by k + 2; ``depth`` is even.  Suffixes of one
+    interval agree in ``depth`` symbols.  The suffixes of a shard keep their order: its
+    j-th place is its j-th suffix.
     """
     symbols = np.concatenate(transforms)
     shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
     interval = np.zeros(len(symbols), np.int32)
     before = np.empty_like(symbols)
-    for _ in range(depth):
-        before[np.argsort(shard, kind="stable")] = symbols  # the symbol before each suffix, in the present order
+    for _ in range(depth // 2):
+        before[np.argsort(shard, kind="stable")] = symbols  # the symbols before each suffix, in the present order
         step = np.argsort(before, kind="stable")
         shard, moved, first = shard[step], interval[step], before[step]
         border = np.zeros(len(step), np.int32)
@@ -285,7 +320,7 @@ def window_classes(pieces: Pieces, shards: int = SHARDS) -> tuple[np.ndarray, np
         text = whole[a:b]
         order = suffix_order(text)
         orders.append(order + a)
-        transforms.append(text[order - 1])
+        transforms.append((text[order - 2].astype(np.uint16) << np.uint16(8)) | text[order - 1])
     shard, interval = merged_intervals(transforms, SPAN)
     place = np.empty(len(whole), np.int64)
     place[np.argsort(shard, kind="stable")] = np.concatenate(orders)
@@ -297,66 +332,73 @@ def window_classes(pieces: Pieces, shards: int = SHARDS) -> tuple[np.ndarray, np
 
 def findings_of(table: pa.Table) -> pa.Table:
     """Windows (doc, tid, start, count) that start with bytes of a smaller document, packed by document."""
-    every = Pieces(*(C.unpack(table.column(c), t) for c, t in zip(Pieces.COLUMNS, Pieces.TYPES, strict=True)), C.unpack(table.column("data"), np.uint8))
+    every = Pieces(*(C.unplanes(table.column(c), t) for c, t in zip(Pieces.COLUMNS, Pieces.TYPES, strict=True)), C.unpack(table.column("data"), np.uint8))
     order, later = every.holders()
     out = [(every.doc[order[later]], every.tid[order[later]], every.start[order[later]], every.count[order[later]].astype(np.int64))]
     # The least holders of each content; several if its document holds it more than once.
     rows = order[~later]
     key = every.contents()[rows]
     first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-    content = np.cumsum(first) - 1
     alone = rows[first]
     anchors, times = np.unique(every.anchor[alone], return_counts=True)
     some = np.flatnonzero(times[np.searchsorted(anchors, every.anchor[alone])] > 1)
-    if len(some):
-        different = every.take(alone[some])
-        piece, window, kind = window_classes(different)
-        least = np.full(int(kind.max()) + 1, np.iinfo(np.int64).max) if len(kind) else np.zeros(0, np.int64)
-        np.minimum.at(least, kind, different.doc[piece])
-        gone = least[kind] < different.doc[piece]
-        piece, window = piece[gone], window[gone]
-        sort = np.lexsort((window, piece))
-        piece, window = piece[sort], window[sort]
-        if len(piece):
-            new = np.ones(len(piece), bool)
-            new[1:] = (piece[1:] != piece[:-1]) | (window[1:] != window[:-1] + 1)
-            a = np.flatnonzero(new)
-            lengths = np.diff(np.append(a, len(piece)))
-            # each run holds for all holders of the content
-            of_content = {int(c): [] for c in some[np.unique(piece)]}
-            for c, r in zip(content.tolist(), rows.tolist(), strict=True):
-                if c in of_content:
-                    of_content[c].append(r)
-            holder, run = [], []
-            for j, p in enumerate(piece[a].tolist()):
-                for r in of_content[int(some[p])]:
-                    holder.append(r)
-                    run.append(j)
-            holder, run = np.array(holder), np.array(run)
-            out.append((every.doc[holder], every.tid[holder], every.start[holder] + window[a][run], lengths[run]))
+    # Minimizers are independent of each other: merge the pieces of some of them at a time.
+    some = some[np.argsort(every.anchor[alone[some]], kind="stable")]
+    size = np.cumsum(every.ends[alone[some]] - every.begins[alone[some]])
+    anchor = every.anchor[alone[some]]
+    border = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(some) else np.zeros(0, int)
+    batch = (size[border] // MERGE_BYTES) if len(some) else border
+    starts = border[np.flatnonzero(np.concatenate([[True], batch[1:] != batch[:-1]]))] if len(some) else border
+    holders = (np.flatnonzero(first), np.append(np.flatnonzero(first)[1:], len(rows)))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(some)], strict=False):
+        out += merged_findings(every, rows, holders, some[a:b], alone)
     return pa.table(dict(zip(("doc", "tid", "start", "count"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
 
 
+def merged_findings(every: Pieces, rows: np.ndarray, holders: tuple[np.ndarray, np.ndarray], some: np.ndarray, alone: np.ndarray) -> list[tuple]:
+    """Findings among the different contents ``some``, for all rows that hold them."""
+    different = every.take(alone[some])
+    piece, window, kind = window_classes(different)
+    least = np.full(int(kind.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, kind, different.doc[piece])
+    gone = least[kind] < different.doc[piece]
+    piece, window = piece[gone], window[gone]
+    if not len(piece):
+        return []
+    sort = np.lexsort((window, piece))
+    piece, window = piece[sort], window[sort]
+    new = np.ones(len(piece), bool)
+    new[1:] = (piece[1:] != piece[:-1]) | (window[1:] != window[:-1] + 1)
+    at = np.flatnonzero(new)
+    lengths = np.diff(np.append(at, len(piece)))
+    content = some[piece[at]]
+    times = holders[1][content] - holders[0][content]
+    run = np.repeat(np.arange(len(at)), times)
+    step = np.arange(len(run)) - np.repeat(np.cumsum(times) - times, times)
+    holder = rows[holders[0][content][run] + step]
+    return [(every.doc[holder], every.tid[holder], every.start[holder] + window[at][run], lengths[run])]
+
+
 def pack_findings(doc, tid, start, count, blocks: int) -> Iterator[tuple[int, list[bytes]]]:
     key = C.mix(doc.astype(np.int64).view(np.uint64))
     order = np.argsort(key, kind="stable")
-    yield from C.packed(blocks, key[order], doc[order].astype(np.int64), tid[order], start[order].astype(np.int64), count[order].astype(np.int64))
+    yield from C.packed(blocks, key[order], doc[order].astype(np.int64), tid[order].astype(np.uint32), start[order].astype(np.uint32), count[order].astype(np.uint32))
 
 
 FOUND = ["doc", "tid", "start", "count"]
 
 
-def findings(docs: DataFrame, bits: np.ndarray, size: int, blocks: int) -> DataFrame:
+def findings(docs: DataFrame, skip, bits: np.ndarray, size: int, blocks: int) -> DataFrame:
     """Packed findings (block by document, doc, tid, start, count)."""
-    pieces = pieces_of(docs, bits, size, blocks)
+    pieces = pieces_of(docs, skip, bits, size, blocks)
 
     def shared(table: pa.Table) -> pa.Table:
         if not table.column("block")[0].is_valid:
-            doc, tid, start, count = (C.unpack(table.column(c), t) for c, t in (("doc", np.int64), ("tid", np.uint64), ("start", np.int64), ("count", np.uint8)))
+            doc, tid, start, count = (C.unplanes(table.column(c), t) for c, t in zip(Pieces.COLUMNS[1:], Pieces.TYPES[1:], strict=True))
         else:
             t = findings_of(table)
             doc, tid, start, count = (t.column(c).to_numpy() for c in FOUND)
-        batches = list(C.block_batches(((b, parts[1:]) for b, parts in pack_findings(doc, tid.astype(np.uint64), start, count, blocks)), FOUND))
+        batches = list(C.block_batches(((b, parts[1:]) for b, parts in pack_findings(doc, tid, start, count, blocks)), FOUND))
         empty = pa.table({"block": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in FOUND}})
         return pa.concat_tables([empty, *(pa.Table.from_batches([b]) for b in batches)])
 
@@ -396,7 +438,7 @@ def removals(docs: DataFrame, found: DataFrame, blocks: int) -> DataFrame:
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if len(left) and len(right):
-            doc, tid, start, count = (C.unpack(right.column(c), t) for c, t in (("doc", np.int64), ("tid", np.uint64), ("start", np.int64), ("count", np.int64)))
+            doc, tid, start, count = (C.unpack(right.column(c), t) for c, t in (("doc", np.int64), ("tid", np.uint32), ("start", np.uint32), ("count", np.uint32)))
             order = np.lexsort((tid, doc))
             doc, tid, start, count = doc[order], tid[order], start[order], count[order]
             for i, text in zip(left.column("doc_id").to_pylist(), left.column("text"), strict=True):
@@ -405,7 +447,7 @@ def removals(docs: DataFrame, found: DataFrame, blocks: int) -> DataFrame:
                     continue
                 raw = text.as_buffer().to_pybytes()
                 sig = hashlib.sha256(raw).digest()
-                mine = np.flatnonzero(tid[a:b] == np.uint64(int.from_bytes(sig[:8], "little"))) + a
+                mine = np.flatnonzero(tid[a:b] == int.from_bytes(sig[:4], "little")) + a
                 if len(mine):
                     spans = spans_of(start[mine], count[mine])
                     edges = [0, *(x for s in spans for x in s), len(raw)]
@@ -421,14 +463,14 @@ def removals(docs: DataFrame, found: DataFrame, blocks: int) -> DataFrame:
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per document; with ``full`` also the kept bytes of documents that lose some."""
     blocks = C.n_blocks(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = C.cut(describe(docs, blocks))
-    rows = described.where("block is null").select("doc_id", "n_bytes", "sig")
-    repeated = C.cut(repeated_minimizers(described))
+    docs = C.small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = C.cut(describe(docs))
+    same = C.cut(rows.where("doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    skip = docs.sparkSession.sparkContext.broadcast(copies_of(rows, same))
+    repeated = C.cut(repeated_minimizers(minimizers(docs, skip, blocks)))
     bits, size = C.membership(repeated, "minimizer", repeated.count())
-    found = C.cut(findings(docs, bits, size, blocks))
+    found = C.cut(findings(docs, skip, bits, size, blocks))
     gone = removals(docs, found, blocks).dropDuplicates(["doc_id", "sig"])
-    same = C.cut(rows.where("doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
     placed = C.attach(rows, same, "sig", "copies", rows.count()).drop("copies")
     out = placed.join(gone if full else gone.drop("kept"), ["doc_id", "sig"], "left")
     whole = (F.col("doc_id") > F.col("least")) & (F.col("n_bytes") >= SPAN)
