@@ -32,7 +32,7 @@ def _moments(df: DataFrame, features: list[str], treatment: str, weight: str | N
 
 def _guarded(moments: DataFrame) -> DataFrame:
     both = (F.col("n1") > 0) & (F.col("n0") > 0)
-    return moments.withColumn("m1", F.when(both, F.col("m1")).otherwise(F.raise_error("both arms are needed").cast("double")))
+    return moments.where(F.when(both, F.lit(True)).otherwise(F.raise_error("both arms are needed").cast("boolean")))
 
 
 def _smd() -> Column:
