@@ -7,6 +7,7 @@ own fold); the others are fitted fold by fold.
 
 from __future__ import annotations
 
+import importlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -164,20 +165,21 @@ class FittedML:
 
 @dataclass
 class ML(Base):
-    """Any ``pyspark.ml`` regressor or classifier (of 0/1 labels); weights go to its ``weightCol``."""
+    """Any ``pyspark.ml`` regressor or classifier (of 0/1 labels), or a function that makes one; weights go to its ``weightCol``."""
 
     estimator: object
 
     def fit(self, df, features, label, weight=None):
         from pyspark.ml.feature import VectorAssembler
 
-        classifier = self.estimator.hasParam("probabilityCol")
+        template = self.estimator if hasattr(self.estimator, "hasParam") else self.estimator()
+        classifier = template.hasParam("probabilityCol")
         settings = {"featuresCol": "_x", "labelCol": label, "predictionCol": "_prediction"}
         if classifier:
             settings |= {"probabilityCol": "_probability", "rawPredictionCol": "_raw"}
         if weight:
             settings["weightCol"] = weight
-        estimator = self.estimator.copy()
+        estimator = template.copy()
         for name, value in settings.items():
             estimator.set(estimator.getParam(name), value)
         columns = [label, "_x", *([weight] if weight else [])]
@@ -185,22 +187,21 @@ class ML(Base):
         return FittedML(model, list(features), classifier)
 
 
-def gbt(**options) -> ML:
-    from pyspark.ml.regression import GBTRegressor
+def _later(module: str, name: str, options: dict) -> ML:
+    """An estimator made when it is fitted, for which a session is needed."""
+    return ML(lambda: getattr(importlib.import_module(module), name)(**options))
 
-    return ML(GBTRegressor(**({"maxIter": 60, "maxDepth": 4, "stepSize": 0.1, "maxBins": 128, "seed": 1} | options)))
 
+def gbt(**options) -> ML:
+    return _later("pyspark.ml.regression", "GBTRegressor", {"maxIter": 60, "maxDepth": 4, "stepSize": 0.1, "maxBins": 128, "seed": 1} | options)
 
-def forest(**options) -> ML:
-    from pyspark.ml.regression import RandomForestRegressor
 
-    return ML(RandomForestRegressor(**({"numTrees": 50, "maxDepth": 8, "maxBins": 64, "seed": 1} | options)))
+def forest(**options) -> ML:
+    return _later("pyspark.ml.regression", "RandomForestRegressor", {"numTrees": 50, "maxDepth": 8, "maxBins": 64, "seed": 1} | options)
 
 
 def logit(**options) -> ML:
-    from pyspark.ml.classification import LogisticRegression
-
-    return ML(LogisticRegression(**options))
+    return _later("pyspark.ml.classification", "LogisticRegression", options)
 
 
 # ---------------------------------------------------------------- propensities

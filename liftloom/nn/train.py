@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, StructType
 
 from ..frame import CausalFrame
 from ..learners.meta import FittedUplift
@@ -101,7 +101,7 @@ class FittedNeural(FittedUplift):
     x_scaler: Scaler | None = None
     y_scaler: Scaler | None = None
 
-    def _map(self, df: DataFrame, columns: dict[str, str], values) -> DataFrame:
+    def _map(self, df: DataFrame, columns: dict[str, DataType], values) -> DataFrame:
         sent = df.sparkSession.sparkContext.broadcast(self)
         names = list(self.features)
 
@@ -124,7 +124,7 @@ class FittedNeural(FittedUplift):
             y = me.y_scaler.inverse(y) if me.y_scaler else y
             return {f"_y{a}": y[:, i] for i, a in enumerate(arms)}
 
-        return self._map(df, {f"_y{a}": "double" for a in arms}, values)
+        return self._map(df, {f"_y{a}": DoubleType() for a in arms}, values)
 
     def predict_dose_response(self, df: DataFrame, grid: list[float], out: str = "mu") -> DataFrame:
         """``df`` with an array of predicted outcomes over the doses of ``grid``."""
@@ -133,7 +133,7 @@ class FittedNeural(FittedUplift):
             y = me.net.dose_response(me.weights, x, grid)
             return {out: list(me.y_scaler.inverse(y) if me.y_scaler else y)}
 
-        return self._map(df, {out: "array<double>"}, values)
+        return self._map(df, {out: ArrayType(DoubleType())}, values)
 
 
 @dataclass

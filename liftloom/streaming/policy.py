@@ -18,7 +18,9 @@ def _sums(reward: str, action: str, pscore: str, policy: str) -> list[Column]:
 
 def rolling_policy_value(df: DataFrame, ts: str = "ts", window: str = "1 day", slide: str | None = None, late: str = "1 day", reward: str = "y", action: str = "t", pscore: str = "p", policy: str = "pi") -> DataFrame:
     """(start, end, n, ips, snips) per time window, of a stream (late rows up to ``late`` count) or a table."""
-    rows = df.withWatermark(ts, late) if df.isStreaming else df
+    rows = df
+    if df.isStreaming:  # a watermark needs a timestamp with a time zone
+        rows = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     over = F.window(ts, window, slide) if slide else F.window(ts, window)
     found = rows.groupBy(over.alias("_w_")).agg(*_sums(reward, action, pscore, policy))
     snips = F.coalesce(F.try_divide(F.col("_wr"), F.when(F.col("_w") != 0, F.col("_w"))), F.lit(0.0))
