@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 HEAP_FROM = 64
 CACHE_WORDS = 300_000
 CACHED_LENGTH = 64
@@ -235,4 +237,4 @@ def bpe_codes(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
     schema += "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), *keep).mapInArrow(work, schema)
+    return C.small_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), *keep).mapInArrow(work, schema)

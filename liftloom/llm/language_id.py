@@ -134,7 +134,7 @@ def fold(id_column: Column, folds: int = 5) -> Column:
 
 def fit_language_model(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Discriminator:
     """Fit on the rows outside fold 0 that have a language."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
+    labelled = C.small_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
     # First the smallest of each of many parts of a language, so that a frequent one is not dealt to one task.
     chosen = labelled.select("doc_id", "lang").distinct().withColumn("draw", F.xxhash64("doc_id")).withColumn("part", F.pmod("draw", F.lit(16)))
     for by in (["lang", "part"], ["lang"]):
