@@ -201,13 +201,13 @@ def roll(hashes: np.ndarray, width: int) -> np.ndarray:
 # ---------------------------------------------------------------- packed blocks
 
 
-def packed(blocks: int, keys: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
-    """(block, bytes of each array) for arrays sorted by ``keys``."""
+def packed(blocks: int, keys: np.ndarray, *columns: np.ndarray, form: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> Iterator[tuple[int, list[bytes]]]:
+    """(block, bytes of each array) for arrays sorted by ``keys``; ``form`` may be ``planes``."""
     if len(keys):
         block = to_block(keys, blocks)
         cuts = np.flatnonzero(np.diff(block)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
-            yield int(block[a]), [x[a:b].tobytes() for x in (keys, *columns)]
+            yield int(block[a]), [form(x[a:b]) for x in (keys, *columns)]
 
 
 def block_batches(rows: Iterator[tuple[int, list[bytes]]], names: list[str]) -> Iterator[pa.RecordBatch]:

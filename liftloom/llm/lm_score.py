@@ -92,14 +92,14 @@ def totals(docs: DataFrame, blocks: int) -> tuple[int, int]:
                     if len(keys) > 2 * C.FLUSH_ENTRIES:
                         keys, counts = C.sum_by_key(keys, counts)
                         if len(keys) > C.FLUSH_ENTRIES:
-                            yield from C.packed(blocks, keys, counts)
+                            yield from C.packed(blocks, keys, counts, form=C.planes)
                             keys, counts = keys[:0], counts[:0]
-            yield from C.packed(blocks, *C.sum_by_key(keys, counts))
+            yield from C.packed(blocks, *C.sum_by_key(keys, counts), form=C.planes)
 
         yield from C.block_batches(rows(), ["keys", "counts"])
 
     def merge(table: pa.Table) -> pa.Table:
-        keys, counts = C.sum_by_key(C.unpack(table.column("keys"), np.uint64), C.unpack(table.column("counts"), np.int64))
+        keys, counts = C.sum_by_key(C.unplanes(table.column("keys"), np.uint64), C.unplanes(table.column("counts"), np.int64))
         return pa.table({"n": pa.array([int(counts.sum())], pa.int64()), "v": pa.array([len(keys)], pa.int64())})
 
     packed = docs.where("not held_out").select("text").mapInArrow(count, "block int, keys binary, counts binary")
@@ -140,7 +140,7 @@ class Automaton:
 def lm_scores(docs: DataFrame, part_docs: int = PART_DOCS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per document."""
     spark = docs.sparkSession
-    docs = folded(docs)
+    docs = folded(C.small_batches(docs))
     blocks = C.n_blocks(spark)
     n, v = totals(docs, blocks)
     sizes = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("held_out")).alias("begins")).first()
@@ -162,7 +162,7 @@ def lm_scores(docs: DataFrame, part_docs: int = PART_DOCS) -> DataFrame:
         for kind, values in enumerate(kinds):
             keys, at = np.unique(values, return_inverse=True)
             counts = np.bincount(at[train], minlength=len(keys)).astype(np.uint32)
-            rows += [(block, part, kind, *data) for block, data in C.packed(blocks, keys, counts)]
+            rows += [(block, part, kind, *data) for block, data in C.packed(blocks, keys, counts, form=C.planes)]
         return pa.table(dict(zip(["block", "part", "kind", "keys", "counts"], [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()], strict=True)], strict=True)))
 
     def answer(table: pa.Table) -> pa.Table:
@@ -172,17 +172,17 @@ def lm_scores(docs: DataFrame, part_docs: int = PART_DOCS) -> DataFrame:
         for kind in np.unique(kinds).tolist():
             some = table.take(pa.array(np.flatnonzero(kinds == kind)))
             lengths = [len(x.as_buffer()) // 8 for x in some.column("keys")]
-            _, at = np.unique(C.unpack(some.column("keys"), np.uint64), return_inverse=True)
-            sums = np.bincount(at, weights=C.unpack(some.column("counts"), np.uint32))[at].astype(np.uint32)
+            _, at = np.unique(C.unplanes(some.column("keys"), np.uint64), return_inverse=True)
+            sums = np.bincount(at, weights=C.unplanes(some.column("counts"), np.uint32))[at].astype(np.uint32)
             ends = np.cumsum(lengths)
-            out += [(p, kind, block, sums[e - k : e].tobytes()) for p, k, e in zip(some.column("part").to_pylist(), lengths, ends.tolist(), strict=True)]
+            out += [(p, kind, block, C.planes(sums[e - k : e])) for p, k, e in zip(some.column("part").to_pylist(), lengths, ends.tolist(), strict=True)]
         return pa.table({name: pa.array(c, t) for (name, t), c in zip([("part", pa.int32()), ("kind", pa.int32()), ("block", pa.int32()), ("counts", pa.binary())], zip(*out, strict=True), strict=True)})
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
         tokens, kinds = slice_of(texts)
         order = answers.sort_by([("kind", "ascending"), ("block", "ascending")])
         which = order.column("kind").to_numpy()
-        counts = [C.unpack(order.filter(pa.array(which == kind)).column("counts"), np.uint32).astype(np.int64) for kind in (0, 1)]
+        counts = [C.unplanes(order.filter(pa.array(which == kind)).column("counts"), np.uint32).astype(np.int64) for kind in (0, 1)]
         (vocabulary, word), (arcs, arc) = (np.unique(x, return_inverse=True) for x in kinds)
         machine = Automaton(vocabulary, counts[0], n, v, begins, arcs, counts[1])
         states = np.empty_like(word)
