@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 from .. import explain
 from ..forecast import UpliftForecast, compare_models
 from ..frame import CausalFrame
-from ..learners.base import OLS, RidgeBase
+from ..functions import causal as C
+from ..learners.base import OLS, Propensity, RidgeBase
 from ..learners.meta import PolicyLearner, SLearner, TLearner, ZLearner
-from ..nn.models import MODELS
+from ..nn.models import MODELS, with_rerum
 from ..nn.train import NeuralUplift
-from ..operators.trees import CausalForest
+from ..operators import matching as m
+from ..operators import ope
+from ..operators.trees import CausalForest, UpliftTree
 from ..selection import AutoUplift, SuggestFloat
 from ..streaming.policy import rolling_policy_value
 from . import views
-from .evaluation import AREAS, BOTH, PAIRS_BIN, POINTS, SCORES, rounded
+from .evaluation import AREAS, BOTH, PAIRS_BIN, PAIRS_MULTI, POINTS, SCORES, rounded, scored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -70,6 +73,77 @@ def policy_learner(spark, sf):
     return PolicyLearner(cate=ZLearner(effect_model=OLS())).fit(frame).assign(frame.df).select("row_id", "uplift", "assigned")
 
 
+@query()
+def forecast_columns(spark, sf):
+    frame = CausalFrame(views.multi(spark, sf), ("x0", "x1"))
+    models = [TLearner(model=OLS(), name="T"), SLearner(model=OLS(), name="S"), ZLearner(effect_model=OLS(), name="Z")]
+    return UpliftForecast(models).fit(frame).predict(frame.df, components=True).select("row_id", "uplift_T", "uplift_S", "uplift_Z", "T_y0_pred", "T_y1_pred")
+
+
+@query()
+def neighbours_lsh(spark, sf):
+    matcher = m.NearestNeighborMatcher(("x0", "x1"), backend=m.LSHBackend(reach=0.02, bucket_length=0.05))
+    return matcher.edges(views.binary(spark, sf))
+
+
+@query()
+def uplift_tree_per_arm(spark, sf):
+    frame = CausalFrame(views.multi(spark, sf).withColumn("y", (F.col("y") > 1.5).cast("double")), ("x0", "x1"))
+    return UpliftTree(max_depth=1, criterion="ed", multi_arm_split="per_arm").fit(frame).predict(frame.df).select("row_id", "uplift")
+
+
+@query()
+def neural_rerum(spark, sf):
+    frame = CausalFrame(views.binary(spark, sf), ("x0", "x1"))
+    return NeuralUplift(with_rerum(MODELS["TARNet"](2, hidden_size=8)), epochs=1, name="RERUM_TARNet").fit(frame).predict(frame.df).select("row_id", "uplift")
+
+
+@query()
+def neural_several_arms(spark, sf):
+    frame = CausalFrame(views.multi(spark, sf), ("x0", "x1"))
+    return NeuralUplift(MODELS["M3TN"](2, hidden_size=8, n_treatments=5), epochs=1).fit(frame).predict(frame.df).select("row_id", "uplift")
+
+
+@query()
+def dose_response(spark, sf):
+    frame = CausalFrame(views.binary(spark, sf).withColumn("t", F.col("x1")), ("x0", "x1"))
+    return NeuralUplift(MODELS["VCNet"](2, hidden_size=8), epochs=1).fit(frame).predict_dose_response(frame.df, [0.0, 0.5, 1.0]).select("row_id", "mu")
+
+
+_V = "SELECT row_id, x0, x1, t, y, 0.1e0 + 0.8e0 * x1 AS e FROM v_bin"
+
+
+def _clipped(x: str) -> str:
+    return f"greatest(1e-6, least(1 - 1e-6, {x}))"
+
+
+@query(f"""WITH {views.BINARY}, v AS ({_V}) SELECT row_id, round(exp(-x1 * x1 / 2), 6) AS gaussian, round(0.75e0 * (1 - x1 * x1), 6) AS epanechnikov, round(1 - x1, 6) AS triangular, 1e0 AS uniform,
+round(CASE WHEN t = 1 THEN 1 / e ELSE 1 / (1 - e) END, 6) AS ipw, round(t * y / e - (1 - t) * y / (1 - e), 6) AS transformed, round(greatest(0.2e0, least(0.8e0, x1)), 6) AS clipped, round(e / (e + 0.3e0), 6) AS relative,
+round({_clipped("x1")} * ln({_clipped("x1")} / {_clipped("e")}) + (1 - {_clipped("x1")}) * ln((1 - {_clipped("x1")}) / (1 - {_clipped("e")})), 6) + 0e0 AS kl, round(2 * (x1 - e) * (x1 - e), 6) AS ed,
+CAST(CASE WHEN x1 >= 0.25 THEN 1 ELSE 0 END + CASE WHEN x1 >= 0.5 THEN 1 ELSE 0 END AS INT) AS bin, CAST(floor(least(greatest(x1, 0), 1 - 1e-6) * 5) AS INT) AS stratum, round(x1 * x1, 6) AS square, round(pow(greatest(x1 - 1e0 / 3, 0), 2), 6) AS spline, round((x0 - 0.5e0) / 3e0, 6) + 0e0 AS scaled,
+round(1 / (1 + exp(-x0)) * exp(greatest(-10, least(10, x1)) + 0.5e0 * pow(least(ln(1 + exp(x1)) + 1e-6, 5), 2)), 6) AS ziln, round(1 / (1 + exp(-x0)) * x1, 6) AS two_stage FROM v""")
+def scalar_functions(spark, sf):
+    df = views.binary(spark, sf).withColumn("e", F.lit(0.1) + F.lit(0.8) * F.col("x1"))
+    x0, x1, t, y, e = (F.col(c) for c in ("x0", "x1", "t", "y", "e"))
+    columns = {k: f(x1) for k, f in C.KERNELS.items()} | {
+        "ipw": C.ipw_weight(t, e), "transformed": C.transformed_outcome(t, y, e), "clipped": C.clip(x1, 0.2), "relative": C.relative_propensity(e, F.lit(0.3)),
+        "kl": C.divergence("kl", x1, e), "ed": C.divergence("ed", x1, e), "square": F.element_at(C.spline_basis(x1, 2, 2), 3), "spline": F.element_at(C.spline_basis(x1, 2, 2), 4),
+        "scaled": C.scaled(x0, 0.5, 3.0), "ziln": C.ziln_mean(F.array(x0, x1, x1)), "two_stage": C.two_stage_mean(F.array(x0, x1)),
+    }
+    edges = F.array(F.lit(0.25), F.lit(0.5))
+    return df.select("row_id", *(rounded(c).alias(k) for k, c in columns.items()), C.digitize(x1, edges).alias("bin"), C.dose_stratum(x1, 5).alias("stratum"))
+
+
+@query(f"""WITH {PAIRS_MULTI}, g AS (SELECT t, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM v_multi) AS e FROM v_multi GROUP BY t),
+n AS (SELECT v.row_id, k.t AS arm, round((k.a + k.b * v.x0) - (c.a + c.b * v.x0), 9) AS net FROM v_multi v JOIN m k ON k.t > 0 JOIN m c ON c.t = 0), b AS (SELECT row_id, max(net) AS best FROM n GROUP BY row_id),
+a AS (SELECT b.row_id, CASE WHEN best > 0 THEN min(n.arm) ELSE 0 END AS pi FROM b JOIN n ON n.row_id = b.row_id AND n.net = b.best GROUP BY b.row_id, best)
+SELECT round(avg((p.a + p.b * v.x0) + (CASE WHEN v.t = a.pi THEN 1 / g.e ELSE 0 END) * (v.y - (o.a + o.b * v.x0))), 6) AS value FROM v_multi v JOIN a ON a.row_id = v.row_id JOIN g ON g.t = v.t JOIN m p ON p.t = a.pi JOIN m o ON o.t = v.t""")
+def evaluate_policy_multi(spark, sf):
+    df = scored(views.multi(spark, sf))
+    df = Propensity().fit(df, [], [0, 1, 2, 3, 4]).predict(df, "e")
+    return ope.evaluate_policy(df).select(rounded("value").alias("value"))
+
+
 for _name, _net in MODELS.items():
 
     def _neural(spark, sf, net=_net, name=_name):
