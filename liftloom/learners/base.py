@@ -165,9 +165,13 @@ class FittedML:
 
 @dataclass
 class ML(Base):
-    """Any ``pyspark.ml`` regressor or classifier (of 0/1 labels), or a function that makes one; weights go to its ``weightCol``."""
+    """Any ``pyspark.ml`` regressor or classifier (of 0/1 labels), or a function that makes one; weights go to its ``weightCol``.
+
+    ``validation`` names a boolean column of rows that boosted trees stop early by.
+    """
 
     estimator: object
+    validation: str | None = None
 
     def fit(self, df, features, label, weight=None):
         from pyspark.ml.feature import VectorAssembler
@@ -179,10 +183,12 @@ class ML(Base):
             settings |= {"probabilityCol": "_probability", "rawPredictionCol": "_raw"}
         if weight:
             settings["weightCol"] = weight
+        if self.validation:
+            settings["validationIndicatorCol"] = self.validation
         estimator = template.copy()
         for name, value in settings.items():
             estimator.set(estimator.getParam(name), value)
-        columns = [label, "_x", *([weight] if weight else [])]
+        columns = [label, "_x", *([weight] if weight else []), *([self.validation] if self.validation else [])]
         model = estimator.fit(VectorAssembler(inputCols=list(features), outputCol="_x").transform(df).select(*columns))
         return FittedML(model, list(features), classifier)
 

@@ -8,13 +8,13 @@ driver is at most ``MERGERS`` sets of weights a round.  One partition is plain s
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, StructType
 
@@ -93,6 +93,19 @@ def steps(net: Net, p: dict[str, np.ndarray], adam: Adam, x: np.ndarray, t: np.n
         adam.update(p, {k: v.grad + decay * p[k] for k, v in tensors.items() if v.grad is not None})
 
 
+@dataclass
+class SGD(Adam):
+    """Plain gradient steps."""
+
+    def update(self, p, grads):
+        self.step += 1
+        for k, g in grads.items():
+            p[k] = p[k] - self.rate * g
+
+
+OPTIMIZERS = {"adam": Adam, "sgd": SGD}
+
+
 @dataclass
 class FittedNeural(FittedUplift):
     net: Net | None = None
@@ -100,6 +113,11 @@ class FittedNeural(FittedUplift):
     features: list[str] = field(default_factory=list)
     x_scaler: Scaler | None = None
     y_scaler: Scaler | None = None
+    inverse: Callable[[np.ndarray], np.ndarray] | None = None
+
+    def to_outcomes(self, y: np.ndarray) -> np.ndarray:
+        y = self.y_scaler.inverse(y) if self.y_scaler else y
+        return self.inverse(y) if self.inverse else y
 
     def _map(self, df: DataFrame, columns: dict[str, DataType], values) -> DataFrame:
         sent = df.sparkSession.sparkContext.broadcast(self)
@@ -120,8 +138,7 @@ class FittedNeural(FittedUplift):
         arms = list(self.arms)
 
         def values(me, x):
-            y = me.net.outcomes(me.weights, x)
-            y = me.y_scaler.inverse(y) if me.y_scaler else y
+            y = me.to_outcomes(me.net.outcomes(me.weights, x))
             return {f"_y{a}": y[:, i] for i, a in enumerate(arms)}
 
         return self._map(df, {f"_y{a}": DoubleType() for a in arms}, values)
@@ -130,15 +147,18 @@ class FittedNeural(FittedUplift):
         """``df`` with an array of predicted outcomes over the doses of ``grid``."""
 
         def values(me, x):
-            y = me.net.dose_response(me.weights, x, grid)
-            return {out: list(me.y_scaler.inverse(y) if me.y_scaler else y)}
+            return {out: list(me.to_outcomes(me.net.dose_response(me.weights, x, grid)))}
 
         return self._map(df, {out: ArrayType(DoubleType())}, values)
 
 
 @dataclass
 class NeuralUplift:
-    """Fits an architecture; ``normalize_y`` scales outcomes like features (off for value losses)."""
+    """Fits an architecture; ``normalize_y`` scales outcomes like features (off for value losses).
+
+    ``y_transform`` is a column function of the outcome before scaling, ``y_inverse`` its inverse on arrays;
+    ``schedule`` gives the learning rate's factor in each epoch.
+    """
 
     net: Net
     epochs: int = 20
@@ -150,6 +170,10 @@ class NeuralUplift:
     partitions: int | None = None
     seed: int = 1
     name: str | None = None
+    optimizer: str = "adam"
+    schedule: Callable[[int], float] | None = None
+    y_transform: Callable[[Column], Column] | None = None
+    y_inverse: Callable[[np.ndarray], np.ndarray] | None = None
 
     @property
     def display_name(self) -> str:
@@ -162,7 +186,7 @@ class NeuralUplift:
         arms = [0, 1] if self.net.dose else frame.arms()
         if not self.net.dose and arms != list(range(self.net.n_treatments)):
             raise ValueError("arms must be 0..n_treatments-1")
-        rows = frame.df.select(*(F.col(c).cast("double").alias(c) for c in features), F.col(frame.treatment).cast("double").alias("_t"), F.col(frame.outcome).cast("double").alias("_y"))
+        rows = frame.df.select(*(F.col(c).cast("double").alias(c) for c in features), F.col(frame.treatment).cast("double").alias("_t"), (self.y_transform or (lambda c: c))(F.col(frame.outcome).cast("double")).alias("_y"))
         if self.partitions:
             rows = rows.repartition(self.partitions)
         rows = rows.persist()
@@ -170,8 +194,11 @@ class NeuralUplift:
         ys = Scaler(self.scaler).fit(rows, ["_y"]) if self.normalize_y else None
         net, batch, decay, seed = self.net, self.batch_size, self.weight_decay, self.seed
         p = net.init(np.random.default_rng(seed))
-        adam = Adam(self.learning_rate)
+        if self.optimizer not in OPTIMIZERS or (self.y_transform is None) != (self.y_inverse is None):
+            raise ValueError("unknown optimizer, or only one of y_transform and y_inverse")
+        adam = OPTIMIZERS[self.optimizer](self.learning_rate)
         for epoch in range(self.epochs):
+            adam.rate = self.learning_rate * (self.schedule(epoch) if self.schedule else 1.0)
             sent = rows.sparkSession.sparkContext.broadcast((p, adam, xs, ys))
 
             def work(batches: Iterator[pd.DataFrame], sent=sent, epoch=epoch) -> Iterator[pd.DataFrame]:
@@ -193,7 +220,7 @@ class NeuralUplift:
             p, adam = average([(r.n, *pickle.loads(r.data)) for r in sorted(done, key=lambda r: r.part)])
             sent.unpersist()
         rows.unpersist()
-        return FittedNeural(arms, self.display_name, net, p, features, xs, ys)
+        return FittedNeural(arms, self.display_name, net, p, features, xs, ys, self.y_inverse)
 
 
 def average(found: list[tuple[int, dict, Adam]]) -> tuple[dict, Adam]:
@@ -203,4 +230,4 @@ def average(found: list[tuple[int, dict, Adam]]) -> tuple[dict, Adam]:
     p = {k: mean(lambda q, _, k=k: q[k]) for k in found[0][1]}
     first = found[0][2]
     state = {k: (mean(lambda _, a, k=k: a.state[k][0]), mean(lambda _, a, k=k: a.state[k][1])) for k in first.state}
-    return p, Adam(first.rate, first.beta1, first.beta2, max(a.step for *_, a in found), state)
+    return p, type(first)(first.rate, first.beta1, first.beta2, max(a.step for *_, a in found), state)

@@ -271,6 +271,10 @@ def test_neural_models_learn(spark):
     doses = CausalFrame(frame.df.withColumn("t", F.pmod(F.xxhash64("row_id"), F.lit(100)) / 100.0).withColumn("y", F.col("t") * 2), FEATURES)
     curve = NeuralUplift(models.VCNet(5, hidden_size=8), epochs=15, learning_rate=1e-2, partitions=1).fit(doses).predict_dose_response(doses.df, [0.0, 1.0]).first().mu
     assert curve[1] - curve[0] == pytest.approx(2, abs=0.7)
+    logged = NeuralUplift(models.EUEN(5, hidden_size=8), epochs=3, optimizer="sgd", schedule=lambda e: 0.5**e, y_transform=F.asinh, y_inverse=np.sinh, learning_rate=1e-2).fit(frame)
+    assert logged.predict(frame.df).where("isnan(uplift)").isEmpty()
+    with pytest.raises(ValueError):
+        NeuralUplift(models.EUEN(5), optimizer="lion").fit(frame)
     rerum = models.with_rerum(models.CFRNet(5, hidden_size=6))
     assert rerum.loss.outputs == 3 and rerum.loss.imbalance == "mmd2_lin"
     with pytest.raises(TypeError):
@@ -319,6 +323,20 @@ def test_selection(spark, frame):
         AutoUplift([], "qini")
 
 
+def test_early_stopping_by_a_validation_column(frame):
+    marked = CausalFrame(frame.df.withColumn("held", F.pmod(F.col("row_id"), F.lit(4)) == 0), FEATURES)
+    base = gbt(maxIter=40)
+    base.validation = "held"
+    assert error(SLearner(model=base).fit(marked), marked) < 0.8
+
+
+def test_approximate_backend(spark):
+    _, _, df = imbalanced(spark, 200)
+    exact = m.NearestNeighborMatcher(("a", "b"), radius=0.3).edges(df)
+    rough = m.NearestNeighborMatcher(("a", "b"), radius=0.3, backend=m.LSHBackend(reach=0.3, bucket_length=1.0, tables=8)).edges(df)
+    assert rough.join(exact, ["treated", "control"]).count() == rough.count() >= 0.9 * exact.count()
+
+
 def test_explanations(spark, frame):
     model = TLearner(model=OLS()).fit(frame)
     found = explain.permutation_importance(model, frame, n_repeats=1).collect()
