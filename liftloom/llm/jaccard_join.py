@@ -133,7 +133,8 @@ def postings(docs: DataFrame, bits: np.ndarray, size: int, blocks: int) -> DataF
                     if name in seen:
                         continue
                     seen.add(name)
-                    p = prefix(s, C.passes(sent.value, size, s))
+                    # Prefixes hold small hashes; mixed again they spread evenly over blocks.
+                    p = C.mix(~prefix(s, C.passes(sent.value, size, s)))
                     keys.append(p)
                     ids.append(np.full(len(p), low, np.uint64))
                     held += len(p)
