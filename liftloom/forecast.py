@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import io
 import json
-import os
 import pickle
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frame import CausalFrame
@@ -56,9 +55,8 @@ class UpliftForecast:
 
 
 def save(thing, path: str) -> None:
-    """Write an object whose parts may be Spark models and tables.  Only load what you trust."""
-    os.makedirs(path, exist_ok=True)
-    parts: list[dict] = []
+    """Write an object whose parts may be Spark models and tables, to any path that Spark writes.  Only load what you trust."""
+    spark, path, parts = SparkSession.active(), path.rstrip("/"), []
 
     class Writer(pickle.Pickler):
         def persistent_id(self, value):
@@ -67,36 +65,34 @@ def save(thing, path: str) -> None:
                 return None
             at = f"part{len(parts)}"
             if kind == "table":
-                value.write.mode("overwrite").parquet(os.path.join(path, at))
+                value.write.mode("overwrite").parquet(f"{path}/{at}")
             else:
-                value.write().overwrite().save(os.path.join(path, at))
+                value.write().overwrite().save(f"{path}/{at}")
             parts.append({"kind": kind, "class": f"{type(value).__module__}.{type(value).__name__}"})
             return len(parts) - 1
 
     data = io.BytesIO()
     Writer(data).dump(thing)
-    with open(os.path.join(path, "model.pickle"), "wb") as f:
-        f.write(data.getvalue())
-    with open(os.path.join(path, "parts.json"), "w", encoding="utf-8") as f:
-        json.dump(parts, f)
+    row = spark.createDataFrame([(bytearray(data.getvalue()), json.dumps(parts))], "data binary, parts string")
+    row.coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
 
 
 def load(spark, path: str):
     import importlib
 
-    with open(os.path.join(path, "parts.json"), encoding="utf-8") as f:
-        parts = json.load(f)
+    path = path.rstrip("/")
+    row = spark.read.parquet(f"{path}/model").first()
+    parts = json.loads(row.parts)
 
     class Reader(pickle.Unpickler):
         def persistent_load(self, at):
-            where = os.path.join(path, f"part{at}")
+            where = f"{path}/part{at}"
             if parts[at]["kind"] == "table":
                 return spark.read.parquet(where)
             module, name = parts[at]["class"].rsplit(".", 1)
             return getattr(importlib.import_module(module), name).load(where)
 
-    with open(os.path.join(path, "model.pickle"), "rb") as f:
-        return Reader(f).load()
+    return Reader(io.BytesIO(bytes(row.data))).load()
 
 
 METRICS = ("auuc", "qini", "lift")
