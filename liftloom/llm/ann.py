@@ -1,10 +1,15 @@
 """Approximate nearest neighbours along shifted space-filling curves.
 
-Vectors are projected, shifted and put in order along several Hilbert curves.  Each curve is
+Vectors are projected, put on a grid and in order along several Hilbert curves.  Each curve is
 range-partitioned into cells of equally many vectors; a query visits the cells of its key window on
 every curve, each visit gives its nearest vectors there by exact distance, and the visits of a
 query are merged and ranked again.  Nothing but ``boundaries`` (at most ``MOST_CELLS`` for a
-curve) and the vectors' mean and spread reaches the driver.
+curve), grid lines and the vectors' mean and spread reaches the driver.
+
+Grid lines lie at shifted quantiles of each projection (of a hashed sample of vectors; all vectors are put on the
+grid), so any group of vectors spans its share of the lines, however tight it is.  Vectors that even
+this leaves at one place of the curve are in an order of their own on each curve; if they outgrow the window, a query
+among them visits all of their cells on the first curve.
 
 The window is a share of all rows, so that recall stays put as the table grows: vectors without
 any low-dimensional structure need wide windows (see the README for measured recall).  A larger cell is split by a
@@ -32,6 +37,8 @@ from . import common as C
 CURVES, DIMS, BITS, TIE_BITS = 16, 8, 6, 15
 WINDOW_SHARE, CELL_ROWS, MOST_CELLS = 0.08, 1024, 4096
 GROUP_ROWS, GROUP_QUERIES = 8192, 4096
+# Rows that grid lines are drawn from, and the part of the spread below which rounding blurs projections.
+LINE_ROWS, BLUR = 16384, 2.0**-40
 
 
 def hilbert_keys(grid: np.ndarray, bits: int) -> np.ndarray:
@@ -61,7 +68,7 @@ def hilbert_keys(grid: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Curves:
-    """Projection, shift and key of each curve, fixed by the seed and the vectors' mean and spread."""
+    """Projection, grid and key of each curve, fixed by the seed, the vectors' mean and spread and (in ``lines``) their quantiles."""
 
     def __init__(self, mean: np.ndarray, spread: float, curves: int, dims: int, seed: int):
         rng = np.random.default_rng(seed)
@@ -69,11 +76,21 @@ class Curves:
         self.dims = min(dims, n)
         self.mean, self.spread = mean, spread or 1.0
         self.turns = [np.linalg.qr(rng.normal(size=(n, n)))[0][:, : self.dims] for _ in range(curves)]
-        self.shifts = rng.uniform(-0.5, 0.5, (curves, self.dims))
+        self.shifts = rng.uniform(0, 1, (curves, self.dims))
+        self.lines: dict[int, np.ndarray] = {}
+
+    def project(self, x: np.ndarray, curve: int) -> np.ndarray:
+        return np.rint((x - self.mean) @ self.turns[curve] / self.spread / BLUR)
+
+    def grid_lines(self, y: np.ndarray, curve: int) -> np.ndarray:
+        """For each dimension the ``2**BITS - 1`` values that part projections ``y`` into about equally many."""
+        at = (np.arange((1 << BITS) - 1)[:, None] + self.shifts[curve]) / (1 << BITS) * len(y)
+        return np.take_along_axis(np.sort(y, axis=0), at.astype(np.int64), axis=0).T
 
     def keys(self, x: np.ndarray, curve: int, ties: np.ndarray) -> np.ndarray:
-        y = (x - self.mean) @ self.turns[curve] / self.spread + self.shifts[curve]
-        grid = np.clip((y + 4) / 8 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+        y = self.project(x, curve)
+        grid = np.stack([np.searchsorted(line, y[:, i], "left") for i, line in enumerate(self.lines[curve])], axis=1)
+        ties = C.mix(ties + np.uint64(curve))
         return ((hilbert_keys(grid, BITS) << np.uint64(TIE_BITS)) | (ties & np.uint64((1 << TIE_BITS) - 1))).astype(np.int64)
 
 
@@ -118,6 +135,29 @@ def _statistics(unique: DataFrame, size: int) -> tuple[np.ndarray, float]:
     return mean, float(np.sqrt(max(0.0, np.mean([r.q / n for r in rows] - mean**2))))
 
 
+def _draw_lines(unique: DataFrame, n: int, plan: Curves, curves: int) -> None:
+    """Fills ``plan.lines`` from about ``LINE_ROWS`` vectors, chosen by hash."""
+    sent = unique.sparkSession.sparkContext.broadcast(plan)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column(0))
+            for c in range(curves) if len(x) else ():
+                y = sent.value.project(x, c)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array([r.tobytes() for r in y], pa.binary())], names=["curve", "y"])
+
+    def lines(table: pa.Table) -> pa.Table:
+        c = table.column("curve")[0].as_py()
+        found = sent.value.grid_lines(C.unpack(table.column("y"), np.float64).reshape(len(table), -1), c)
+        return pa.table({"curve": pa.array([c], pa.int32()), "lines": pa.array([found.tobytes()], pa.binary())})
+
+    some = unique.select("vec")
+    if n > LINE_ROWS:
+        some = some.where(F.pmod(F.xxhash64("vec"), F.lit(n)) < LINE_ROWS)
+    for row in some.mapInArrow(work, "curve int, y binary").groupBy("curve").applyInArrow(lines, "curve int, lines binary").collect():
+        plan.lines[row["curve"]] = np.frombuffer(row["lines"], np.float64).reshape(plan.dims, -1)
+
+
 def nearest_neighbours(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = CURVES, window_share: float = WINDOW_SHARE, seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found for each row that meets ``queries`` (a condition on ``vec_id``)."""
     spark = rows.sparkSession
@@ -134,10 +174,10 @@ def nearest_neighbours(rows: DataFrame, queries: Column, k: int = 10, id_col: st
     size = len(unique.first()["vec"]) // 8
     mean, spread = _statistics(unique, size)
     plan = Curves(mean, spread, curves, DIMS, seed)
+    _draw_lines(unique, n, plan, curves)
     cells = min(max(1, -(-n // CELL_ROWS)), MOST_CELLS)
     half = math.ceil(window_share * cells / 2) if cells > 1 else 0
     row_parts = max(1, -(-n // (cells * GROUP_ROWS)))
-    query_parts = max(1, -(-n_asked * (2 * half + 1) // (cells * GROUP_QUERIES)))
     sent = spark.sparkContext.broadcast(plan)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,6 +194,9 @@ def nearest_neighbours(rows: DataFrame, queries: Column, k: int = 10, id_col: st
         for row in keys.groupBy("curve").agg(F.percentile_approx("key", shares, 20 * cells).alias("at")).collect():
             edges[row.curve] = np.array(row["at"], np.int64)
     cuts = spark.sparkContext.broadcast(edges)
+    # Where one place of the first curve outgrows the window, a cell may be visited by all queries.
+    hot = len(edges[0]) > 0 and bool(np.unique(edges[0] >> TIE_BITS, return_counts=True)[1].max() > half)
+    query_parts = max(1, -(-n_asked * (cells if hot else 2 * half + 1) // (cells * GROUP_QUERIES)))
 
     def dealt(visits: bool):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,10 +204,15 @@ def nearest_neighbours(rows: DataFrame, queries: Column, k: int = 10, id_col: st
                 x = matrix(batch.column(1))
                 raw = C.mix(x.view(np.uint64).sum(1, dtype=np.uint64)) if len(x) else np.zeros(0, np.uint64)
                 for c in range(curves):
-                    cell = np.searchsorted(cuts.value[c], sent.value.keys(x, c, raw), "left") if len(x) else np.zeros(0, np.int64)
+                    key = sent.value.keys(x, c, raw) if len(x) else np.zeros(0, np.int64)
+                    cell = np.searchsorted(cuts.value[c], key, "left")
+                    low, high = cell - half, cell + half
+                    if c == 0:
+                        low = np.minimum(low, np.searchsorted(cuts.value[c], key >> TIE_BITS << TIE_BITS, "left"))
+                        high = np.maximum(high, np.searchsorted(cuts.value[c], key | ((1 << TIE_BITS) - 1), "left"))
                     part = (C.mix(raw + np.uint64(c)) % np.uint64(query_parts if visits else row_parts)).astype(np.int64)
-                    for step in range(-half, half + 1) if visits else (0,):
-                        ok = np.flatnonzero((cell + step >= 0) & (cell + step < cells))
+                    for step in range((low - cell).min(initial=0), (high - cell).max(initial=0) + 1) if visits else (0,):
+                        ok = np.flatnonzero((cell + step >= np.maximum(low, 0)) & (cell + step <= np.minimum(high, cells - 1)))
                         for other in range(row_parts if visits else query_parts):
                             group = (c * cells + cell[ok] + step) * row_parts * query_parts
                             group += (other * query_parts + part[ok]) if visits else (part[ok] * query_parts + other)

@@ -415,6 +415,27 @@ def test_neighbours_recall_of_hard_vectors(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("jitter", [1e-2, 1e-6, 1e-13])
+def test_neighbours_recall_in_a_tight_cluster(spark, monkeypatch, jitter):
+    from liftloom.llm import ann
+
+    monkeypatch.setattr(ann, "CELL_ROWS", 128)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] = x[0] + jitter * rng.normal(size=(2000, 64))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    queries = range(0, 6000, 75)
+    got = {(r.query_id, r.vec_id) for r in ann.nearest_neighbours(df, F.col("vec_id") % 75 == 0).collect()}
+    want = set()
+    for q in queries:
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want |= {(q, i) for i in np.argsort(d)[:10].tolist()}
+    assert len(got & want) >= 0.9 * len(want)
+    print("recall", jitter, len(got & want) / len(want))
+
+
 def test_components_with_many_edges(spark, monkeypatch):
     from liftloom.llm import common
 
