@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
+# Up to this mean the sum starts at 0; beyond, where exp(-mean) leaves the doubles, below all counts that can be drawn.
 MOST_MEAN = 700.0
 BROADCAST_SOURCES = 100_000
 SLACK = 12
@@ -34,25 +35,30 @@ def uniform(seed: int, label: str, *parts: Column) -> Column:
 
 
 def inverse_poisson(u: Column, mean: Column) -> Column:
-    """The least k with P(X <= k) >= u for a Poisson X; ``mean`` is at most 700 (see ``poisson_mixing``)."""
-    # k needs no more than mean + 12 sqrt(mean) + 40 steps for any u of 52 bits.
+    """The least k with P(X <= k) >= u for a Poisson X, of any mean."""
+    # k lies within 12 sqrt(mean) + 40 of the mean for any u of 52 bits.
     most = F.ceil(mean + SLACK * F.sqrt(mean) + 40).cast("int")
-    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("cdf"), F.when(u > F.exp(-mean), 1).otherwise(0).alias("n"))
+    low = F.greatest(F.floor(mean - SLACK * F.sqrt(mean)).cast("double"), F.lit(1.0))
+    # log P(X = low), with Stirling's series for the factorial
+    log_p = low * F.log1p((mean - low) / low) - (mean - low) - F.log(2 * math.pi * low) / 2 - 1 / (12 * low) + 1 / (360 * low * low * low)
+    large = mean > MOST_MEAN
+    least = F.when(large, low.cast("int")).otherwise(0)
+    first = F.when(large, F.exp(log_p)).otherwise(F.exp(-mean))
+    start = F.struct(first.alias("p"), first.alias("cdf"), (least + F.when(u > first, 1).otherwise(0)).alias("n"))
 
     def step(acc: Column, k: Column) -> Column:
         p = acc["p"] * mean / k
         cdf = acc["cdf"] + p
         return F.struct(p.alias("p"), cdf.alias("cdf"), (acc["n"] + F.when(u > cdf, 1).otherwise(0)).alias("n"))
 
-    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda acc: acc["n"])
+    return F.aggregate(F.sequence(least + 1, most), start, step, lambda acc: acc["n"])
 
 
 def poisson_mixing(docs: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", partitions: int | None = None) -> DataFrame:
     """The rows of ``docs``, each as often as drawn, with ``copy`` (from 0) and ``rate``, shuffled globally.
 
     ``targets`` maps sources to weights (any positive scale); without it all sources weigh the
-    same.  ``total`` is the expected number of rows; without it the input's.  Rates above 700 are
-    split into a whole number of certain copies and a drawn rest, which keeps the mean.
+    same.  ``total`` is the expected number of rows; without it the input's.
     """
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     docs = docs.drop("copy", "rate")
@@ -72,9 +78,7 @@ def poisson_mixing(docs: DataFrame, targets: dict[str, float] | None = None, tot
     # many a sort-merge join does it, whose hot partitions AQE splits.
     few = rates.count() <= BROADCAST_SOURCES
     out = docs.withColumn("_source", source).join(F.broadcast(rates) if few else rates.hint("merge"), "_source").drop("_source")
-    drawn = F.when(F.col("rate") > MOST_MEAN, F.col("rate") - F.floor("rate")).otherwise(F.col("rate"))
-    certain = F.when(F.col("rate") > MOST_MEAN, F.floor("rate")).otherwise(0)
-    out = out.withColumn("_n", (inverse_poisson(uniform(seed, "count", F.col(id_col)), drawn) + certain).cast("int")).where("_n > 0")
+    out = out.withColumn("_n", inverse_poisson(uniform(seed, "count", F.col(id_col)), F.col("rate"))).where("_n > 0")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
     key = uniform(seed, "order", F.col(id_col), F.col("copy"))
     spread = (key * (1 << 30)).cast("int")

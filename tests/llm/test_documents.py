@@ -317,6 +317,22 @@ def test_mixing_reaches_target_weights(spark):
         assert abs(got[source] - want) < 6 * want**0.5 + 0.05 * want
 
 
+def test_mixing_draws_large_rates(spark):
+    from liftloom.llm.mixing import inverse_poisson, poisson_mixing
+
+    u = [1e-9, 0.001, 0.2, 0.5, 0.9, 0.999999]
+    for mean in (700.0, 700.5, 720.0, 1000.25, 3e4, 1e6):
+        got = spark.createDataFrame([(x,) for x in u], "u double").select(inverse_poisson(F.col("u"), F.lit(mean)).alias("k")).collect()
+        k = np.arange(max(0, int(mean - 15 * mean**0.5)), int(mean + 15 * mean**0.5))
+        cdf = np.cumsum(np.exp([i * math.log(mean) - mean - math.lgamma(i + 1) for i in k.tolist()]))
+        assert [r.k for r in got] == k[np.searchsorted(cdf, u)].tolist()
+    df = spark.createDataFrame([(i, "a", "t") for i in range(120)], "doc_id long, source string, text string")
+    for rate in (650.0, 700.5, 5000.0):
+        n = [r["count"] for r in poisson_mixing(df, total=120 * rate).groupBy("doc_id").count().collect()]
+        assert len(n) == 120 and abs(np.mean(n) - rate) < 5 * (rate / 120) ** 0.5
+        assert 0.5 * rate < np.var(n) < 1.7 * rate
+
+
 def test_secret_scan(spark, empty):
     from liftloom.llm.secret_scan import RULES, scan_ledger, secret_scan
 
