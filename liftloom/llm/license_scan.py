@@ -3,7 +3,9 @@
 Templates are cut into words; the hashes of their word k-grams are winnowed (the least of each
 window of consecutive hashes is kept) into an inverted index from fingerprint to template and
 place.  All k-grams of a whole text are looked up, so a text that shares ``window + k - 1``
-words in a row with a template is always found.  Hits of one template on nearby diagonals are one
+words in a row with a template is always found.  ``k`` and ``window`` are those of the template: a text that
+covers enough of it, with the other words changed or left out, shares so many words in a row (for 0.75 the window is 1,
+so all k-grams are kept; words put in between may still part every one of them).  Hits of one template on nearby diagonals are one
 candidate; a banded alignment around its diagonal then counts the template's words that occur in
 order and gives the span of the text they lie in.  It is a map: no shuffle, memory bounded by one slice of texts.
 
@@ -16,6 +18,7 @@ texts); they are sent with the tasks.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -57,39 +60,56 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique([i + len(s) - 1 - int(np.argmin(s[::-1])) for i, s in enumerate(spans)])
 
 
+def shape(n: int, least_coverage: float) -> tuple[int, int]:
+    """(gram, window) for a template of ``n`` words.
+
+    If ``lost`` of its words are changed or left out, the others are in ``lost + 1`` runs at most, the longest of which has ``run`` words at least.
+    """
+    matched = min(max(1, math.ceil(least_coverage * n)), n)
+    lost = n - matched
+    run = -(-matched // (lost + 1))
+    gram = min(GRAM, run)
+    return gram, min(WINDOW, run - gram + 1)
+
+
 class TemplateIndex:
-    """The inverted index of all templates."""
+    """The inverted indexes of all templates, one for each length of grams."""
 
-    def __init__(self, templates: dict[str, str], gram: int = GRAM, window: int = WINDOW):
+    def __init__(self, templates: dict[str, str], least_coverage: float = LEAST_COVERAGE):
         self.names = sorted(templates)
-        self.gram = gram
         self.words: list[np.ndarray] = []
-        entries = []
+        entries = defaultdict(list)
         for t, name in enumerate(self.names):
             data = np.frombuffer(templates[name].encode(), np.uint8)
             hashes, _ = C.words(_PLAIN[data], np.array([0, len(data)]))
-            if len(hashes) < gram:
-                raise ValueError(f"template {name} has fewer than {gram} words")
+            if len(hashes) < GRAM:
+                raise ValueError(f"template {name} has fewer than {GRAM} words")
             self.words.append(hashes)
+            gram, window = shape(len(hashes), least_coverage)
             grams = C.roll(hashes, gram)
-            entries += [(int(grams[i]), t, i) for i in winnow(grams, window)]
-        entries.sort()
-        self.keys = np.array([e[0] for e in entries], np.uint64)
-        self.template = np.array([e[1] for e in entries])
-        self.place = np.array([e[2] for e in entries])
-
-    def candidates(self, grams: np.ndarray) -> dict[tuple[int, int], None]:
-        """(template, diagonal) of clusters of hits in one text's grams."""
-        lo, hi = np.searchsorted(self.keys, grams, "left"), np.searchsorted(self.keys, grams, "right")
-        diagonals = defaultdict(list)
-        for i in np.flatnonzero(hi > lo).tolist():
-            for e in range(lo[i], hi[i]):
-                diagonals[int(self.template[e])].append(i - int(self.place[e]))
+            entries[gram] += [(int(grams[i]), t, i) for i in winnow(grams, window)]
+        # gram -> (keys, template, place)
+        self.tables = {g: (np.array([e[0] for e in sorted(found)], np.uint64), *np.array([e[1:] for e in sorted(found)]).T) for g, found in sorted(entries.items())}
+
+    def hits(self, hashes: np.ndarray) -> dict[int, np.ndarray]:
+        """For each length of grams the places of ``hashes`` where a gram of a template starts."""
+        return {g: np.flatnonzero(np.isin(C.roll(hashes, g), keys)) if len(hashes) >= g else np.zeros(0, int) for g, (keys, *_) in self.tables.items()}
+
+    def candidates(self, hashes: np.ndarray) -> dict[tuple[int, int], None]:
+        """(template, diagonal) of clusters of hits in one text's words."""
+        diagonals = defaultdict(set)
+        for g, (keys, template, place) in self.tables.items():
+            if len(hashes) < g:
+                continue
+            grams = C.roll(hashes, g)
+            lo, hi = np.searchsorted(keys, grams, "left"), np.searchsorted(keys, grams, "right")
+            for i in np.flatnonzero(hi > lo).tolist():
+                for e in range(lo[i], hi[i]):
+                    diagonals[int(template[e])].add(i - int(place[e]))
         found = {}
-        for t, at in diagonals.items():
-            at.sort()
+        for t, at in sorted(diagonals.items()):
             last = None
-            for d in at:
+            for d in sorted(at):
                 if last is None or d - last > BAND:
                     found[(t, d)] = None
                     last = d
@@ -130,9 +150,9 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAN
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least_coverage: float = LEAST_COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per match: doc_id, license, coverage, n_matched, n_template, byte_start, byte_end.
 
-    Of matches that lie within a longer one of larger count only the longer is given.
+    Of matches that lie within another of larger count, or of equal count and larger coverage, only the other is given.
     """
-    index = TemplateIndex(TEMPLATES if templates is None else templates)
+    index = TemplateIndex(TEMPLATES if templates is None else templates, least_coverage)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "license", "coverage", "n_matched", "n_template", "byte_start", "byte_end"]
@@ -141,17 +161,14 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
             for lo, _, data, at in C.chunks(batch.column(1)):
                 plain = _PLAIN[data]
                 hashes, first = C.words(plain, at)
-                if len(hashes) < index.gram:
-                    continue
-                grams = C.roll(hashes, index.gram)
-                hit = np.flatnonzero(np.isin(grams, index.keys))
+                hit = np.unique(np.concatenate([np.zeros(0, int), *index.hits(hashes).values()]))
                 if not len(hit):
                     continue
                 starts, ends = _bounds(plain, at)
                 for d in np.unique(np.searchsorted(first, hit, "right") - 1).tolist():
                     a, b = int(first[d]), int(first[d + 1])
                     found = []
-                    for t, diagonal in index.candidates(grams[a : max(a, b - index.gram + 1)]):
+                    for t, diagonal in index.candidates(hashes[a:b]):
                         n = len(index.words[t])
                         s = max(a, a + diagonal - BAND)
                         text = hashes[s : min(b, a + diagonal + n + BAND)]
@@ -159,7 +176,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
                         if m >= least_coverage * n:
                             found.append((s + x, s + y, t, m, n))
                     best: list[tuple] = []
-                    for f in sorted(set(found), key=lambda f: (-f[3], f[0], f[2])):
+                    for f in sorted(set(found), key=lambda f: (-f[3], f[4], f[0], f[2])):
                         if not any(g[0] <= f[0] and f[1] <= g[1] for g in best):
                             best.append(f)
                     for x, y, t, m, n in sorted(best):

@@ -395,6 +395,41 @@ def test_license_scan(spark, docs, empty):
     assert all(kept & set(range(i, i + 4)) for i in range(47))
 
 
+def test_license_scan_of_changed_notices(spark):
+    from liftloom.llm.license_scan import LEAST_COVERAGE, TEMPLATES, license_scan
+
+    split = lambda text: re.sub(r"[^A-Za-z0-9]+", " ", text).lower().split()
+    rng = random.Random(2)
+    texts = ["Released under the MIT Licence.", "Licensed under CC BY 4"]
+    for name, notice in sorted(TEMPLATES.items()):
+        words = split(notice)
+        texts += [" ".join([*words[:i], *new, *words[i + 1 :]]) for i in range(len(words)) for new in ([], ["zzz"])]
+        for _ in range(10):
+            gone = set(rng.sample(range(len(words)), len(words) // 4))
+            texts.append("aa bb " + " ".join("zzz" if i in gone else w for i, w in enumerate(words)) + " cc")
+        gone = {i for i in range(3, len(words), 4)}
+        texts.append(" ".join("zzz" if i in gone else w for i, w in enumerate(words)))
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old, row = row, [0] * (len(b) + 1)
+            for j, y in enumerate(b):
+                row[j + 1] = old[j] + 1 if x == y else max(row[j], old[j + 1])
+        return row[-1]
+
+    got = defaultdict(int)
+    for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got[r.doc_id] = max(got[r.doc_id], r.n_matched)
+    want = {}
+    for i, text in enumerate(texts):
+        found = [(common(split(t), split(text)), len(split(t))) for t in TEMPLATES.values()]
+        want[i] = max([m for m, n in found if m >= LEAST_COVERAGE * n], default=0)
+    missed = [(texts[i], want[i], got[i]) for i in want if got[i] != want[i]]
+    print("texts", len(texts), "missed", len(missed), missed[:5])
+    assert not missed
+
+
 def brute_neighbours(vectors, queries, k):
     out = []
     for q, v in queries:
