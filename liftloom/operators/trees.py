@@ -305,8 +305,8 @@ class FittedForest(FittedUplift):
 
 @dataclass
 class CausalForest:
-    """Honest forest on pseudo-outcomes.  Every tree draws at most ``rows_per_tree`` rows (a documented bound of the
-    subsample, whose rate falls as the table grows) and trees are grown in parallel, one group each.
+    """Honest forest on pseudo-outcomes.  Every tree draws from all rows (from about ``rows_per_tree`` of them where that
+    is given) and trees are grown in parallel, one group each, so a task holds the rows of a tree.
     """
 
     n_estimators: int = 100
@@ -322,7 +322,7 @@ class CausalForest:
     outcome_model: Base | None = None
     n_folds: int = 5
     seed: int = 0
-    rows_per_tree: int = 20_000
+    rows_per_tree: int | None = None
     name: str = "CausalForest"
 
     @property
@@ -356,13 +356,14 @@ class CausalForest:
         return df.select(F.col(frame.row_id).alias("_id"), F.col("_w").cast("double").alias("w"), y.alias("y"), psi.alias("psi"), *(F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)))
 
     def _leaf_values(self, tree: Cart, leaf: np.ndarray, rows: pd.DataFrame) -> tuple[np.ndarray, float]:
-        values = np.full(len(tree.feature), np.nan)
+        values, size = np.full(len(tree.feature), np.nan), len(tree.feature)
         w, y, psi = (rows[c].to_numpy() for c in ("w", "y", "psi"))
-        for at in np.unique(leaf):
-            m = leaf == at
-            t, c = m & (w == 1), m & (w == 0)
-            enough = t.sum() >= self.min_treated_leaf and c.sum() >= self.min_control_leaf
-            values[at] = y[t].mean() - y[c].mean() if enough else psi[m].mean()
+        t, c = w == 1, w == 0
+        n, n_t, n_c = (np.bincount(leaf[m], minlength=size) for m in (slice(None), t, c))
+        enough = (n_t >= self.min_treated_leaf) & (n_c >= self.min_control_leaf)
+        some, apart = (n > 0) & ~enough, (n > 0) & enough
+        values[some] = np.bincount(leaf, psi, size)[some] / n[some]
+        values[apart] = np.bincount(leaf[t], y[t], size)[apart] / n_t[apart] - np.bincount(leaf[c], y[c], size)[apart] / n_c[apart]
         return values, float(psi.mean())
 
     def _targets(self, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -375,8 +376,7 @@ class CausalForest:
         members = {}
         for arm in arms[1:]:
             rows = cut(self._pseudo(frame, arm))
-            n = rows.count()
-            share = min(1.0, self.rows_per_tree / max(1, n))
+            share = 1.0 if self.rows_per_tree is None else min(1.0, self.rows_per_tree / max(1, rows.count()))
             draw = lambda k: F.pmod(F.xxhash64("_id", "tree", F.lit(self.seed + k)), F.lit(1 << 20)) / float(1 << 20)
             copies = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.n_estimators - 1)))).withColumn("half", (draw(1) < 0.5).cast("int")).where(draw(2) < share)
             settings = self

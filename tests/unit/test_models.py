@@ -94,6 +94,13 @@ def test_policy_assignment(frame):
     assert list(band.importance())[0] == "x0"
 
 
+def test_trees_draw_from_all_rows(spark):
+    df = spark.range(24000).selectExpr("id as row_id", "cast(id % 2 as int) as t", "cast(id % 7 as double) as x0", "cast(id * id % 1009 as double) as y")
+    fitted = CausalForest(n_estimators=2, max_depth=0, honest=False, bootstrap=False, pseudo_outcome="ipw").fit(CausalFrame(df, ("x0",)))
+    want = df.agg(F.avg("y").alias("m"), F.avg(F.when(F.col("t") == 1, F.col("y"))).alias("a"), F.avg(F.when(F.col("t") == 0, F.col("y"))).alias("b")).first()
+    assert [values[0] for _, values, _ in fitted.members[1]] == pytest.approx([want.a - want.b] * 2, rel=1e-9)
+
+
 def test_survival_learner(spark):
     rng = np.random.default_rng(6)
     rows = [(i, float(x), int(t), float(rng.exponential(2 + 4 * t)), int(rng.random() < 0.8)) for i, (x, t) in enumerate(zip(rng.normal(size=1500), rng.integers(0, 2, 1500)))]
