@@ -109,7 +109,7 @@ def valid_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                     out.append(x.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "vec"])
 
-    found = rows.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(work, "vec_id long, vec binary")
+    found = rows.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(C.tidied(work), "vec_id long, vec binary")
     found = C.cut(found.withColumn("size", F.length("vec")))
     most = found.groupBy("size").count().orderBy(F.desc("count"), "size").first()
     return found.where(F.col("size") == (most["size"] if most else -1)).drop("size")
@@ -129,7 +129,7 @@ def _statistics(unique: DataFrame, size: int) -> tuple[np.ndarray, float]:
                 n, s, q = n + len(x), s + x.sum(0), q + (x * x).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(np.full(size, n)), pa.array(s), pa.array(q)], names=["i", "n", "s", "q"])
 
-    rows = unique.select("vec").mapInArrow(work, "i long, n long, s double, q double").groupBy("i").agg(*(F.sum(c).alias(c) for c in "nsq")).orderBy("i").collect()
+    rows = unique.select("vec").mapInArrow(C.tidied(work), "i long, n long, s double, q double").groupBy("i").agg(*(F.sum(c).alias(c) for c in "nsq")).orderBy("i").collect()
     n = max(1, rows[0].n)
     mean = np.array([r.s for r in rows]) / n
     return mean, float(np.sqrt(max(0.0, np.mean([r.q / n for r in rows] - mean**2))))
@@ -154,7 +154,7 @@ def _draw_lines(unique: DataFrame, n: int, plan: Curves, curves: int) -> None:
     some = unique.select("vec")
     if n > LINE_ROWS:
         some = some.where(F.pmod(F.xxhash64("vec"), F.lit(n)) < LINE_ROWS)
-    for row in some.mapInArrow(work, "curve int, y binary").groupBy("curve").applyInArrow(lines, "curve int, lines binary").collect():
+    for row in some.mapInArrow(C.tidied(work), "curve int, y binary").groupBy("curve").applyInArrow(lines, "curve int, lines binary").collect():
         plan.lines[row["curve"]] = np.frombuffer(row["lines"], np.float64).reshape(plan.dims, -1)
 
 
@@ -190,7 +190,7 @@ def nearest_neighbours(rows: DataFrame, queries: Column, k: int = 10, id_col: st
     shares = [i / cells for i in range(1, cells)]
     edges: dict[int, np.ndarray] = {c: np.zeros(0, np.int64) for c in range(curves)}
     if shares:
-        keys = unique.select("vec").mapInArrow(keyed, "curve int, key long")
+        keys = unique.select("vec").mapInArrow(C.tidied(keyed), "curve int, key long")
         for row in keys.groupBy("curve").agg(F.percentile_approx("key", shares, 20 * cells).alias("at")).collect():
             edges[row.curve] = np.array(row["at"], np.int64)
     cuts = spark.sparkContext.broadcast(edges)

@@ -9,6 +9,11 @@ and equal keys of a task are combined before they leave it.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import os
+import sys
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,6 +24,7 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 19
 FLUSH_ENTRIES = 1 << 20
+BLOCK_ENTRIES = 1 << 22
 U64 = np.uint64
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -34,11 +40,16 @@ _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; the session's own setting, or one under /tmp where it is unset."""
+    """The folder that all executors share: the session's setting.  Where it is unset, a local master (as in tests) gets a folder of its own; a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else "/tmp/checkpoints/liftloom"
+        if current.isDefined():
+            return current.get()
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = os.path.join(tempfile.gettempdir(), "liftloom-checkpoints")
     return found
 
 
@@ -55,8 +66,31 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/liftloom-{label}-{uuid.uuid4().hex}"
 
 
-def n_blocks(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def n_blocks(spark: SparkSession, entries: int = 0) -> int:
+    """Blocks of the hash space: at least a shuffle's partitions, and so many that a block holds about ``BLOCK_ENTRIES`` entries."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BLOCK_ENTRIES))
+
+
+def n_blocks_of(df: DataFrame, block_bytes: int = 1 << 27) -> int:
+    """Blocks for what a whole input gives: at least a shuffle's partitions, and one for each 128 MB of the tables it is read from."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(n_blocks(df.sparkSession), -(-size // block_bytes) if size < 1 << 55 else 1)  # unknown sizes count as 2**63
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores before it until no column of ``frames`` is called so (in any case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, share: int = 1000) -> DataFrame:
@@ -76,17 +110,15 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
 ARROW_ROWS = 1000
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, its session set to hand at most ``ARROW_ROWS`` rows at a time to Python.
+def small_batches(spark: SparkSession) -> None:
+    """Set the session to hand at most ``ARROW_ROWS`` rows at a time to Python; a smaller setting is kept.
 
-    Texts are long: batches of Spark's 10,000 rows cost each task over 100 MB outside the heap.
-    A smaller setting of the session is kept.
+    Texts are long: batches of Spark's 10,000 rows cost each task over 100 MB outside the heap.  This is
+    for applications (the registered queries and the pipeline call it); the operators leave the session as it is.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= ARROW_ROWS:
-        conf.set(key, str(ARROW_ROWS))
-    return df
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
 # ---------------------------------------------------------------- hashing
@@ -128,9 +160,44 @@ def to_block(keys: np.ndarray, blocks: int) -> np.ndarray:
 
 # ---------------------------------------------------------------- texts
 
+_held: dict = {}
+
+
+def held() -> dict:
+    """What a Python worker keeps from task to task of one operator (see ``string_parts``)."""
+    return _held
+
+
+def trim() -> None:
+    """Hand memory that is free but kept by the allocators back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work``, followed by ``trim``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def _release() -> None:
+    """Drop what another operator's tasks left in this worker."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        trim()
+
 
 def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; a null is an empty text."""
+    """Bytes and offsets of a string column; a null is an empty text.  (An operator that keeps a cache in ``held`` does not use this.)"""
+    _release()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
     if column.null_count:
@@ -145,19 +212,20 @@ def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def slices(at: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts have about ``limit`` bytes together; a longer text is alone."""
+def slices(at: np.ndarray, limit: int = CHUNK_BYTES, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of rows (at most ``rows``) whose texts have about ``limit`` bytes together; a longer text is alone."""
     lo, n = 0, len(at) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, side="right")) - 1)
-        yield lo, min(hi, n)
-        lo = min(hi, n)
+        hi = min(hi, n, n if rows is None else lo + rows)
+        yield lo, hi
+        lo = hi
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES, rows: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets from 0) for each slice of a text column."""
     data, at = string_parts(column)
-    for lo, hi in slices(at):
+    for lo, hi in slices(at, limit, rows):
         yield lo, hi, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
 
 
@@ -242,9 +310,16 @@ def unplanes(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
-def per_block(df: DataFrame, work: Callable[[pa.Table], Iterator[pa.Table] | pa.Table], schema: str) -> DataFrame:
+def per_block(df: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """``work`` on the rows of each block."""
-    return df.groupBy("block").applyInArrow(work, schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        out = work(table)
+        if table.nbytes > CHUNK_BYTES:
+            trim()
+        return out
+
+    return df.groupBy("block").applyInArrow(run, schema)
 
 
 def sum_by_key(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,11 +334,13 @@ def sum_by_key(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 # ---------------------------------------------------------------- membership bits
 
-BITS_MOST = 1 << 26
+BITS_MOST = 1 << 30
+PROBES = 3
+PARTS = 64
 
 
 def bits_for(entries: int) -> int:
-    """Size of a membership sketch: 16 bits for an entry, in powers of two, never over 8 MB."""
+    """Size of a membership sketch: 16 bits for an entry, in powers of two, never over 128 MB (67 million entries)."""
     size = 1 << 16
     while size < 16 * entries and size < BITS_MOST:
         size *= 2
@@ -271,44 +348,49 @@ def bits_for(entries: int) -> int:
 
 
 def membership(df: DataFrame, key: str, entries: int) -> tuple[np.ndarray, int]:
-    """A bit sketch of the 64-bit keys of ``df``: no member is missed, some others pass.
+    """A Bloom filter of the 64-bit keys of ``df``: no member is missed, one in 200 others passes.
 
-    Its size is fixed beforehand (at most 8 MB, however many keys there are); each task gives the
-    slices that its keys fall into, which are joined by OR before the one sketch reaches the
+    Its size follows ``entries`` up to a proven bound of 128 MB, from where on ever more others pass; each task
+    gives the slices that its keys fall into, which are joined by OR before the one filter reaches the
     driver.  Users follow it with an exact join or grouping, so it only spares work.
     """
     size = bits_for(entries)
-    parts = 64
-    width = size // parts
+    width = size // PARTS
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, bool)
         for batch in batches:
-            bits[bit_of(batch.column(0).to_numpy(zero_copy_only=False).view(U64), size)] = True
-        rows = [(p, np.packbits(bits[p * width : (p + 1) * width]).tobytes()) for p in range(parts) if bits[p * width : (p + 1) * width].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "bits"])
+            at = np.unique(np.concatenate(list(probes(batch.column(0).to_numpy(zero_copy_only=False).view(U64), size))))
+            cuts = np.searchsorted(at, np.arange(PARTS + 1) * width)
+            rows = [(p, at[a:b] - p * width) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].astype(np.uint32).tobytes() for r in rows], pa.binary())], names=["part", "at"])
 
     def join(table: pa.Table) -> pa.Table:
-        out = np.zeros(width // 8, np.uint8)
-        for x in table.column("bits").to_pylist():
-            out |= np.frombuffer(x, np.uint8)
-        return pa.table({"part": table.column("part")[:1].cast(pa.int32()), "bits": pa.array([out.tobytes()], pa.binary())})
+        bits = np.zeros(width, bool)
+        for x in table.column("at"):
+            bits[np.frombuffer(x.as_buffer(), np.uint32)] = True
+        return pa.table({"part": table.column("part")[:1].cast(pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
-    marks = df.select(F.col(key).cast("long")).where(F.col(key).isNotNull()).mapInArrow(mark, "part int, bits binary")
+    marks = df.select(F.col(key).cast("long")).where(F.col(key).isNotNull()).mapInArrow(tidied(mark), "part int, at binary")
     out = np.zeros(size // 8, np.uint8)
     for row in marks.groupBy("part").applyInArrow(join, "part int, bits binary").toLocalIterator():
         out[row.part * width // 8 : (row.part + 1) * width // 8] = np.frombuffer(row.bits, np.uint8)
     return out, size
 
 
-def bit_of(keys: np.ndarray, size: int) -> np.ndarray:
-    return (mix(keys.astype(U64, copy=False)) & U64(size - 1)).astype(np.int64)
+def probes(keys: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """The positions of each key's bits."""
+    h = mix(keys.astype(U64, copy=False))
+    step = (h >> U64(32)) | U64(1)
+    for k in range(PROBES):
+        yield ((h + U64(k) * step) & U64(size - 1)).astype(np.int64)
 
 
 def passes(bits: np.ndarray, size: int, keys: np.ndarray) -> np.ndarray:
     """Whether each key may be a member."""
-    at = bit_of(keys, size)
-    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    ok = np.ones(len(keys), bool)
+    for at in probes(keys, size):
+        ok &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    return ok
 
 
 # ---------------------------------------------------------------- components
@@ -353,7 +435,7 @@ def components(edges: DataFrame) -> DataFrame:
     start = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b"))
     count = start.count()
     tasks = max(1, -(-count // LOCAL_EDGES))
-    found = cut(start.coalesce(tasks).mapInArrow(stars, "node long, component long"))
+    found = cut(start.coalesce(tasks).mapInArrow(tidied(stars), "node long, component long"))
     if tasks == 1:
         return found
     now = found.select(F.col("node").alias("u"), F.col("component").alias("v")).where("u <> v").distinct()

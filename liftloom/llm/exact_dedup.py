@@ -2,14 +2,15 @@
 
 Every partition builds counting quotient filters of its texts' 64-bit fingerprints: the high
 bits of a fingerprint (the quotient) name a run, the low bits (the remainder) are kept sorted in
-the run, each with a count.  Filters of the same quotient range merge without loss by merging
-their sorted remainders and adding counts.  Only texts whose fingerprint has a merged count
+the run, each with a count, in real slots with three metadata bits.  Filters of the same range merge without
+loss in one pass over their sorted remainders that adds counts.  Only texts whose fingerprint has a merged count
 above one are moved and compared byte for byte.
 
 Defined cases: a null text counts as empty, and all empty texts are equal.  Texts are equal when
 identical after lower-casing A-Z.  The row with the largest id stays; a null id is smaller than
-any other.  Rows that repeat both id and text are one document and get the same decision.  Other
-columns are ignored, so their names may clash with the result's.  An empty table gives no rows.
+any other.  Rows that repeat both id and text are one document and get the same decision; rows that repeat an id with
+different texts are different documents.  Other columns are ignored (``keep_one`` hands them on), so their names may
+clash with the result's.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,47 +26,106 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-REMAINDER_BITS = 40
+SLOTS = 0.75  # greatest load of a new filter
 
 
 @dataclass
 class QuotientFilter:
-    """Runs of sorted remainders with counts, for the quotients of one block."""
-
-    quotients: np.ndarray  # distinct, sorted
-    run_lengths: np.ndarray
-    remainders: np.ndarray  # sorted within each run
+    """A counting quotient filter over the fingerprints of one block.
+
+    A fingerprint's high ``64 - low`` bits are its quotient (from ``base`` on), its ``low`` bits the remainder.  Runs of
+    sorted remainders lie in slots from their quotient's on, shifted right behind longer runs; each slot has the
+    bits occupied (its quotient has a run), continuation (not the first of a run) and shifted (not in its own slot).
+    """
+
+    base: int
+    low: int
+    occupied: np.ndarray
+    continuation: np.ndarray
+    shifted: np.ndarray
+    remainders: np.ndarray
     counts: np.ndarray
 
     @classmethod
     def of(cls, fingerprints: np.ndarray, counts: np.ndarray) -> QuotientFilter:
         """From sorted distinct fingerprints."""
-        quotient = fingerprints >> C.U64(REMAINDER_BITS)
-        runs, lengths = np.unique(quotient, return_counts=True)
-        return cls(runs, lengths, fingerprints & C.U64((1 << REMAINDER_BITS) - 1), counts)
+        n = len(fingerprints)
+        low = 0
+        # the widest remainder for which the slots from the first to the last quotient still number enough
+        while n and low < 56 and (int(fingerprints[-1] >> C.U64(low + 8)) - int(fingerprints[0] >> C.U64(low + 8)) + 1) * SLOTS >= n:
+            low += 8
+        while n and low < 63 and (int(fingerprints[-1] >> C.U64(low + 1)) - int(fingerprints[0] >> C.U64(low + 1)) + 1) * SLOTS >= n:
+            low += 1
+        quotient = (fingerprints >> C.U64(low)).astype(C.U64)
+        base = int(quotient[0]) if n else 0
+        home = (quotient - C.U64(base)).astype(np.int64)
+        # an entry lies in its own slot, or in the one behind the entry before it
+        slot = np.arange(n) + np.maximum.accumulate(home - np.arange(n)) if n else home
+        size = int(max(slot[-1], home[-1])) + 1 if n else 0
+        occupied, continuation, shifted = np.zeros(size, bool), np.zeros(size, bool), np.zeros(size, bool)
+        remainders, held = np.zeros(size, C.U64), np.zeros(size, np.int64)
+        occupied[home] = True
+        continuation[slot[1:]] = home[1:] == home[:-1]
+        shifted[slot] = slot != home
+        remainders[slot] = fingerprints & C.U64((1 << low) - 1)
+        held[slot] = counts
+        return cls(base, low, occupied, continuation, shifted, remainders, held)
+
+    def used(self) -> np.ndarray:
+        """The slots that hold an entry."""
+        return np.flatnonzero(self.counts > 0)
 
     def fingerprints(self) -> np.ndarray:
-        return (np.repeat(self.quotients, self.run_lengths) << C.U64(REMAINDER_BITS)) | self.remainders
+        """All entries in order: the k-th run belongs to the k-th occupied slot."""
+        used = self.used()
+        run = np.cumsum(~self.continuation[used]) - 1
+        quotient = np.flatnonzero(self.occupied)[run].astype(C.U64) + C.U64(self.base)
+        return (quotient << C.U64(self.low)) | self.remainders[used]
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.fingerprints(), self.counts[self.used()]
 
     def merge(self, other: QuotientFilter) -> QuotientFilter:
-        """All entries of both; equal remainders of a run become one with the sum of counts."""
-        keys, counts = C.sum_by_key(np.concatenate([self.fingerprints(), other.fingerprints()]), np.concatenate([self.counts, other.counts]))
-        return QuotientFilter.of(keys, counts)
+        """All entries of both in one pass over their sorted remainders; equal ones become one with the sum of counts."""
+        mine, counts = self.entries()
+        theirs, more = other.entries()
+        at = np.searchsorted(mine, theirs)
+        same = np.zeros(len(theirs), bool)
+        inner = at < len(mine)
+        same[inner] = mine[at[inner]] == theirs[inner]
+        counts[at[same]] += more[same]
+        return QuotientFilter.of(np.insert(mine, at[~same], theirs[~same]), np.insert(counts, at[~same], more[~same]))
 
     def to_bytes(self) -> bytes:
-        head = np.array([len(self.quotients), len(self.remainders)], np.int64)
-        return b"".join(x.tobytes() for x in (head, self.quotients.astype(np.uint32), self.run_lengths.astype(np.uint32), self.remainders.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : REMAINDER_BITS // 8], self.counts.astype(np.int64)))
+        """Head, the three bits of each slot, remainders of used slots cut to whole bytes, then the counts above one with their places."""
+        used = self.used()
+        counts = self.counts[used]
+        often = np.flatnonzero(counts > 1)
+        width = -(-self.low // 8)
+        head = np.array([self.base, self.low, len(self.occupied), len(used), len(often)], C.U64)
+        low = self.remainders[used].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+        filled = np.zeros(len(self.occupied), bool)
+        filled[used] = True
+        bits = (np.packbits(x).tobytes() for x in (self.occupied, self.continuation, self.shifted, filled))
+        return b"".join([head.tobytes(), *bits, low.tobytes(), often.astype(np.uint32).tobytes(), counts[often].astype(np.int64).tobytes()])
 
     @classmethod
     def from_bytes(cls, data: bytes) -> QuotientFilter:
-        q, n = np.frombuffer(data, np.int64, 2).tolist()
-        at = 16
-        quotients = np.frombuffer(data, np.uint32, q, at).astype(C.U64)
-        lengths = np.frombuffer(data, np.uint32, q, at := at + 4 * q).astype(np.int64)
-        width = REMAINDER_BITS // 8
-        low = np.zeros((n, 8), np.uint8)
-        low[:, :width] = np.frombuffer(data, np.uint8, n * width, at := at + 4 * q).reshape(n, width)
-        return cls(quotients, lengths, low.view("<u8").ravel().astype(C.U64), np.frombuffer(data, np.int64, n, at + n * width))
+        base, low, size, n, often = np.frombuffer(data, C.U64, 5).tolist()
+        at, packed, width = 40, -(-size // 8), -(-low // 8)
+        bits = []
+        for _ in range(4):
+            bits.append(np.unpackbits(np.frombuffer(data, np.uint8, packed, at), count=size).astype(bool))
+            at += packed
+        used = np.flatnonzero(bits[3])
+        grid = np.zeros((n, 8), np.uint8)
+        grid[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(n, width)
+        at += n * width
+        remainders, counts = np.zeros(size, C.U64), np.zeros(size, np.int64)
+        remainders[used] = grid.view("<u8").ravel()
+        counts[used] = 1
+        counts[used[np.frombuffer(data, np.uint32, often, at)]] = np.frombuffer(data, np.int64, often, at + 4 * often)
+        return cls(base, low, *bits[:3], remainders, counts)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,7 +141,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             full = pa.Array.from_buffers(pa.binary(), len(grid), [None, pa.py_buffer((np.arange(len(grid) + 1) * 32).astype(np.int32)), pa.py_buffer(digests)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), full], names=["doc_id", "fp", "digest"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, "doc_id long, fp long, digest binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(C.tidied(work), "doc_id long, fp long, digest binary")
 
 
 def partition_filters(prints: DataFrame, blocks: int) -> DataFrame:
@@ -107,7 +167,7 @@ def partition_filters(prints: DataFrame, blocks: int) -> DataFrame:
 
         yield from C.block_batches(rows(), ["filter"])
 
-    return prints.select("fp").mapInArrow(work, "block int, filter binary")
+    return prints.select("fp").mapInArrow(C.tidied(work), "block int, filter binary")
 
 
 def repeated_fingerprints(filters: DataFrame) -> DataFrame:
@@ -117,8 +177,8 @@ def repeated_fingerprints(filters: DataFrame) -> DataFrame:
         pool = [QuotientFilter.from_bytes(x) for x in table.column("filter").to_pylist()]
         while len(pool) > 1:
             pool = [a.merge(b) for a, b in zip(pool[::2], pool[1::2], strict=False)] + (pool[-1:] if len(pool) % 2 else [])
-        keep = pool[0].counts > 1
-        return pa.table({"fp": pool[0].fingerprints()[keep].view(np.int64), "n": pool[0].counts[keep]})
+        prints, counts = pool[0].entries()
+        return pa.table({"fp": prints[counts > 1].view(np.int64), "n": counts[counts > 1]})
 
     return C.per_block(filters, work, "fp long, n long")
 
@@ -136,29 +196,50 @@ def candidate_texts(docs: DataFrame, bits: np.ndarray, size: int) -> DataFrame:
             texts = pa.array([bytes(data[a:b]).lower() for a, b in (pairs[i] for i in keep.tolist())], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), texts], names=["doc_id", "norm"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, norm string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(C.tidied(work), "doc_id long, norm string")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    docs = C.small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, tuple[np.ndarray, int]]:
+    """(digests of all rows, groups (digest, keep_id, group_size) of two equal texts or more, number of rows, sketch of repeated fingerprints)."""
     prints = C.cut(fingerprints(docs))
-    repeated = C.cut(repeated_fingerprints(partition_filters(prints, C.n_blocks(docs.sparkSession))))
-    bits, size = C.membership(repeated, "fp", repeated.count())
+    total = prints.count()
+    repeated = C.cut(repeated_fingerprints(partition_filters(prints, C.n_blocks(docs.sparkSession, total))))
+    sketch = C.membership(repeated, "fp", repeated.count())
     # Equal strings are grouped as whole byte strings, with partial groups before the shuffle: the byte verification.
-    groups = candidate_texts(docs, bits, size).groupBy("norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = C.cut(groups.where("group_size > 1").select(F.unhex(F.sha2("norm", 256)).alias("digest"), "keep_id", "group_size"))
-    out = C.attach(prints, groups, "digest", "group_size", prints.count())
+    groups = candidate_texts(docs, *sketch).groupBy("norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return prints, C.cut(groups.where("group_size > 1").select(F.unhex(F.sha2("norm", 256)).alias("digest"), "keep_id", "group_size")), total, sketch
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    prints, groups, total, _ = _groups(docs)
+    out = C.attach(prints, groups, "digest", "group_size", total)
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay; of rows repeating both id and text one stays."""
-    kept = exact_dedup(docs).where("kept")
-    named = docs.join(kept.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    plain = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    unnamed = docs.where("doc_id is null").withColumn("text_sha256", F.sha2(plain, 256))
-    unnamed = unnamed.join(kept.where("doc_id is null").select("text_sha256").distinct(), "text_sha256", "left_semi").dropDuplicates(["text_sha256"])
-    return named.unionByName(unnamed.drop("text_sha256"))
+def keep_one(docs: DataFrame, share: int = 1000) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: of equal texts the one with the largest id; of rows repeating id and text one.
+
+    Only rows whose fingerprint may be repeated are shuffled.  A group of at least a ``share``-th of all rows is decided by a
+    broadcast (there are at most ``share`` such groups) before that.
+    """
+    _, groups, total, sketch = _groups(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    sent = docs.sparkSession.sparkContext.broadcast(sketch)
+
+    def suspect(texts: pa.Array) -> pa.Array:
+        data, at = C.string_parts(texts)
+        digests = [hashlib.sha256(bytes(data[a:b]).lower()).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        maybe = C.passes(*sent.value, np.frombuffer(b"".join(x[:8] for x in digests), C.U64))
+        return pa.array([x if m else None for x, m in zip(digests, maybe.tolist(), strict=True)], pa.binary())
+
+    digest, keep, size = (C.unused(name, docs) for name in ("digest", "keep_id", "group_size"))
+    marked = docs.withColumn(digest, F.arrow_udf(suspect, "binary").asNondeterministic()(F.col("text").cast("string")))
+    groups = groups.select(F.col("digest").alias(digest), F.col("keep_id").alias(keep), F.col("group_size").alias(size))
+    stays = F.col(size).isNull() | F.col("doc_id").cast("long").eqNullSafe(F.col(keep))
+    some = marked.where(F.col(digest).isNotNull())
+    for part in (F.broadcast(groups.where(F.col(size) >= max(total // share, 2))), groups.where(F.col(size) < max(total // share, 2))):
+        some = some.join(part, digest, "left").where(stays).drop(keep, size)
+    return marked.where(F.col(digest).isNull()).select(*docs.columns).unionByName(some.dropDuplicates([digest]).select(*docs.columns))

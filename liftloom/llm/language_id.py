@@ -29,6 +29,7 @@ from . import common as C
 
 BUCKETS = 1 << 13
 PER_LANGUAGE = 250
+SLICE_ROWS = 64  # texts whose trigrams are counted at once: 4 MB of counts
 
 # Families of languages by ISO 639-1 code; a language that is not named is a family of its own.
 FAMILIES = {
@@ -47,19 +48,29 @@ _SHAPE = C.LOWER.copy()
 _SHAPE[[b for b in range(128) if not (97 <= b <= 122 or 65 <= b <= 90)]] = 32
 
 
-def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A row per text: square roots of trigram shares, of length 1 (0 for a text without trigrams)."""
+def sparse_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, value) of the trigrams of a slice of texts: square roots of trigram shares, each row of length 1."""
     shape = _SHAPE[data].astype(np.uint32)
     rows = len(at) - 1
     if len(shape) < 3:
-        return np.zeros((rows, BUCKETS), np.float32)
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32)
     gram = (shape[:-2] << np.uint32(16)) | (shape[1:-1] << np.uint32(8)) | shape[2:]
     bucket = ((gram * np.uint32(2654435761)) >> np.uint32(19)).astype(np.int64)
     row = np.repeat(np.arange(rows), np.diff(at))[: len(bucket)]
     keep = (np.arange(2, len(shape)) < at[row + 1]) & (gram != 0x202020)
-    counts = np.bincount(row[keep] * BUCKETS + bucket[keep], minlength=rows * BUCKETS).reshape(rows, BUCKETS)
-    total = np.maximum(counts.sum(1, keepdims=True), 1)
-    return np.sqrt(counts / total, dtype=np.float32, casting="unsafe")
+    counts = np.bincount(row[keep] * BUCKETS + bucket[keep], minlength=rows * BUCKETS)
+    found = np.flatnonzero(counts)
+    row, counts = found // BUCKETS, counts[found]
+    total = np.bincount(row, counts, minlength=rows)
+    return row, found % BUCKETS, np.sqrt(counts / total[row], dtype=np.float32, casting="unsafe")
+
+
+def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``sparse_features`` as a dense row per text (0 for a text without trigrams); for the bounded training sample."""
+    row, bucket, value = sparse_features(data, at)
+    out = np.zeros((len(at) - 1, BUCKETS), np.float32)
+    out[row, bucket] = value
+    return out
 
 
 def fit_svm(x: np.ndarray, positive: np.ndarray, penalty: float = 1e-4, rounds: int = 300) -> np.ndarray:
@@ -105,9 +116,11 @@ class Discriminator:
                 columns.append(fit_svm(x[rows], kind[rows] == a))
         return cls(languages, [families[i] for i in family_of], family_pairs, language_pairs, np.array(columns, np.float32).T.reshape(BUCKETS + 1, -1))
 
-    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the language, score in 0..1) of each row."""
-        margin = x @ self.weights[:-1] + self.weights[-1]
+    def predict(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the language, score in 0..1) of each text of a slice."""
+        row, bucket, value = sparse_features(data, at)
+        x = range(len(at) - 1)
+        margin = np.stack([np.bincount(row, value * w[bucket], minlength=len(x)) + w[-1] for w in self.weights.T] or [np.zeros(len(x))], 1)
         families = sorted(set(self.families))
         members = np.array([families.index(f) for f in self.families])
         k = len(self.family_pairs)
@@ -134,7 +147,7 @@ def fold(id_column: Column, folds: int = 5) -> Column:
 
 def fit_language_model(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Discriminator:
     """Fit on the rows outside fold 0 that have a language."""
-    labelled = C.small_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
     # First the smallest of each of many parts of a language, so that a frequent one is not dealt to one task.
     chosen = labelled.select("doc_id", "lang").distinct().withColumn("draw", F.xxhash64("doc_id")).withColumn("part", F.pmod("draw", F.lit(16)))
     for by in (["lang", "part"], ["lang"]):
@@ -145,11 +158,11 @@ def fit_language_model(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Dis
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, at in C.chunks(batch.column(2)):
+            for lo, hi, data, at in C.chunks(batch.column(2), rows=SLICE_ROWS):
                 x = features(data, at).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([v.tobytes() for v in x], pa.binary())], names=["doc_id", "lang", "x"])
 
-    table = rows.mapInArrow(work, "doc_id long, lang string, x binary").toPandas().sort_values(["lang", "doc_id"]).drop_duplicates(["lang", "doc_id"])
+    table = rows.mapInArrow(C.tidied(work), "doc_id long, lang string, x binary").toPandas().sort_values(["lang", "doc_id"]).drop_duplicates(["lang", "doc_id"])
     x = np.frombuffer(b"".join(table["x"]), np.float16).reshape(-1, BUCKETS).astype(np.float32)
     return Discriminator.fit(table["lang"].tolist(), x)
 
@@ -162,33 +175,34 @@ def identify(docs: DataFrame, model: Discriminator) -> DataFrame:
         m = sent.value
         for batch in batches:
             letters = pc.fill_null(pc.match_substring_regex(batch.column(2), r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            for lo, hi, data, at in C.chunks(batch.column(2)):
+            for lo, hi, data, at in C.chunks(batch.column(2), rows=SLICE_ROWS):
                 said, score = np.full(hi - lo, "und", object), np.zeros(hi - lo)
                 if m.languages:
-                    best, p = m.predict(features(data, at))
+                    best, p = m.predict(data, at)
                     ok = letters[lo:hi]
                     said[ok] = np.array(m.languages, object)[best[ok]]
                     score[ok] = p[ok]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(said, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id"), (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("text").cast("string"))
-    return rows.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(C.tidied(work), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Discriminator, least_score: float = 0.0) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language and at least ``least_score``."""
+    """The rows of ``docs``, all columns, whose text has a language and at least ``least_score``; only texts go to Python."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    text = docs.columns.index("text")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = pc.fill_null(pc.match_substring_regex(batch.column(text), r"\p{L}"), False).to_numpy(zero_copy_only=False).copy()
-            if least_score > 0:
-                for lo, hi, data, at in C.chunks(batch.column(text)):
-                    keep[lo:hi] &= sent.value.predict(features(data, at))[1] >= least_score
-            yield batch.filter(pa.array(keep & bool(sent.value.languages)))
-
-    return docs.mapInArrow(work, docs.schema)
+    def recognised(texts: pa.Array) -> pa.Array:
+        m = sent.value
+        keep = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False).copy()
+        if not m.languages:
+            keep[:] = False
+        elif least_score > 0:
+            for lo, hi, data, at in C.chunks(texts, rows=SLICE_ROWS):
+                keep[lo:hi] &= m.predict(data, at)[1] >= least_score
+        return pa.array(keep)
+
+    return docs.where(F.arrow_udf(recognised, "boolean")(F.col("text").cast("string")))
 
 
 def language_id(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:

@@ -186,7 +186,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *(pa.array(c) for c in zip(*out, strict=True))], names=names)
 
     schema = "doc_id long, license string, coverage double, n_matched long, n_template long, byte_start long, byte_end long"
-    return C.small_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(work, schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(C.tidied(work), schema)
 
 
 def _bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

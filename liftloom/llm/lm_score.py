@@ -102,7 +102,7 @@ def totals(docs: DataFrame, blocks: int) -> tuple[int, int]:
         keys, counts = C.sum_by_key(C.unplanes(table.column("keys"), np.uint64), C.unplanes(table.column("counts"), np.int64))
         return pa.table({"n": pa.array([int(counts.sum())], pa.int64()), "v": pa.array([len(keys)], pa.int64())})
 
-    packed = docs.where("not held_out").select("text").mapInArrow(count, "block int, keys binary, counts binary")
+    packed = docs.where("not held_out").select("text").mapInArrow(C.tidied(count), "block int, keys binary, counts binary")
     row = C.per_block(packed, merge, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     return int(row.n or 0), int(row.v or 0)
 
@@ -140,7 +140,7 @@ class Automaton:
 def lm_scores(docs: DataFrame, part_docs: int = PART_DOCS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per document."""
     spark = docs.sparkSession
-    docs = folded(C.small_batches(docs))
+    docs = folded(docs)
     blocks = C.n_blocks(spark)
     n, v = totals(docs, blocks)
     sizes = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("held_out")).alias("begins")).first()

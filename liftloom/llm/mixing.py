@@ -9,7 +9,8 @@ row: nothing depends on partitions or order.
 Defined cases: a null source is a source of its own (named '' in targets); a source without a
 target weight takes weight 0 and is dropped; a null id hashes as the empty string; repeated rows
 draw the same count each.  Texts are not looked at.  An empty table, or a total of 0, gives no rows.
-Columns of the input keep their names; ``copy`` and ``rate`` are added, replacing columns so named.
+Columns of the input keep their names and values; ``copy`` and ``rate`` are added, with underscores before
+the name where the input has a column so named.
 """
 
 from __future__ import annotations
@@ -61,27 +62,27 @@ def poisson_mixing(docs: DataFrame, targets: dict[str, float] | None = None, tot
     same.  ``total`` is the expected number of rows; without it the input's.
     """
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    docs = docs.drop("copy", "rate")
-    sizes = docs.groupBy(source.alias("_source")).agg(F.count(F.lit(1)).alias("_n"))
+    name, rate, n, copy, key = (C.unused(label, docs) for label in ("source_name", "rate", "n", "copy", "key"))
+    sizes = docs.groupBy(source.alias(name)).agg(F.count(F.lit(1)).alias("size"))
     if targets is None:
-        weighted = sizes.withColumn("_w", F.lit(1.0))
+        weighted = sizes.withColumn("weight", F.lit(1.0))
     else:
         if not targets or min(targets.values()) < 0 or not math.isfinite(sum(targets.values())):
             raise ValueError("targets need finite weights of at least 0")
-        table = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], "_source string, _w double")
-        weighted = sizes.join(table, "_source")
-    sums = weighted.agg(F.sum("_w").alias("_all"), F.sum("_n").alias("_rows"))
-    want = F.lit(float(total)) if total is not None else (F.col("_rows").cast("double"))
-    rates = weighted.crossJoin(F.broadcast(sums)).select("_source", (F.col("_w") / F.nullif(F.col("_all"), F.lit(0.0)) * want / F.col("_n")).alias("rate")).where("rate > 0")
+        table = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], f"`{name}` string, weight double")
+        weighted = sizes.join(table, name)
+    sums = weighted.agg(F.sum("weight").alias("whole"), F.sum("size").alias("rows"))
+    want = F.lit(float(total)) if total is not None else (F.col("rows").cast("double"))
+    rates = weighted.crossJoin(F.broadcast(sums)).select(name, (F.col("weight") / F.nullif(F.col("whole"), F.lit(0.0)) * want / F.col("size")).alias(rate)).where(F.col(rate) > 0)
     rates = C.cut(rates)
-    # One source may hold a third of all rows: with few sources no row moves for the rates, with
-    # many a sort-merge join does it, whose hot partitions AQE splits.
+    # One source may hold a third of all rows: with few sources (rows of a name and a number) no row moves for the
+    # rates, with many a sort-merge join does it, whose hot partitions AQE splits.
     few = rates.count() <= BROADCAST_SOURCES
-    out = docs.withColumn("_source", source).join(F.broadcast(rates) if few else rates.hint("merge"), "_source").drop("_source")
-    out = out.withColumn("_n", inverse_poisson(uniform(seed, "count", F.col(id_col)), F.col("rate"))).where("_n > 0")
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
-    key = uniform(seed, "order", F.col(id_col), F.col("copy"))
-    spread = (key * (1 << 30)).cast("int")
-    out = out.withColumn("_key", key)
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartition(n, spread).sortWithinPartitions("_key").drop("_key")
+    out = docs.withColumn(name, source).join(F.broadcast(rates) if few else rates.hint("merge"), name).drop(name)
+    out = out.withColumn(n, inverse_poisson(uniform(seed, "count", F.col(id_col)), F.col(rate))).where(F.col(n) > 0)
+    out = out.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(n) - 1))).drop(n)
+    drawn = uniform(seed, "order", F.col(id_col), F.col(copy))
+    spread = (drawn * (1 << 30)).cast("int")
+    out = out.withColumn(key, drawn)
+    parts = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartition(parts, spread).sortWithinPartitions(key).drop(key)

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 VOCABULARY = "word_bpe_49k.json"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of documents, in a session that hands few of its long rows at a time to Python."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -79,7 +79,7 @@ def describe(docs: DataFrame) -> DataFrame:
             sigs = [hashlib.sha256(data[a:b]).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(sigs, pa.binary())], names=["doc_id", "n_bytes", "sig"])
 
-    return docs.mapInArrow(work, "doc_id long, n_bytes long, sig binary")
+    return docs.mapInArrow(C.tidied(work), "doc_id long, n_bytes long, sig binary")
 
 
 def copies_of(rows: DataFrame, same: DataFrame) -> np.ndarray:
@@ -143,7 +143,7 @@ def minimizers(docs: DataFrame, skip, blocks: int) -> DataFrame:
 
         yield from C.block_batches(rows(), ["keys", "several"])
 
-    return docs.where("doc_id is not null").mapInArrow(work, "block int, keys binary, several binary")
+    return docs.where("doc_id is not null").mapInArrow(C.tidied(work), "block int, keys binary, several binary")
 
 
 def repeated_minimizers(packed: DataFrame) -> DataFrame:
@@ -261,7 +261,7 @@ def pieces_of(docs: DataFrame, skip, bits: np.ndarray, size: int, blocks: int) -
             yield from flush()
 
     schema = "block int, " + ", ".join(f"{n} binary" for n in names)
-    return docs.where("doc_id is not null").mapInArrow(work, schema)
+    return docs.where("doc_id is not null").mapInArrow(C.tidied(work), schema)
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -433,7 +433,7 @@ def removals(docs: DataFrame, found: DataFrame, blocks: int) -> DataFrame:
             block = C.to_block(C.mix(doc), blocks).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(block).take(some), batch.column(0).take(some), batch.column(1).take(some)], names=["block", "doc_id", "text"])
 
-    moved = docs.where("doc_id is not null").mapInArrow(texts, "block int, doc_id long, text string")
+    moved = docs.where("doc_id is not null").mapInArrow(C.tidied(texts), "block int, doc_id long, text string")
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
@@ -463,7 +463,7 @@ def removals(docs: DataFrame, found: DataFrame, blocks: int) -> DataFrame:
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per document; with ``full`` also the kept bytes of documents that lose some."""
     blocks = C.n_blocks(docs.sparkSession)
-    docs = C.small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = C.cut(describe(docs))
     same = C.cut(rows.where("doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
     skip = docs.sparkSession.sparkContext.broadcast(copies_of(rows, same))

@@ -63,6 +63,40 @@ def test_exact_dedup(docs, empty):
     assert Counter(lowered(r.text) for r in kept.collect()) == Counter(groups.keys())
 
 
+CLASHING = "doc_id long, text string, digest string, text_sha256 string, keep_id string, group_size string, sig int, stays string, key string, number string, node int"
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    from liftloom.llm import exact_dedup, jaccard_join
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a + " more"
+    rows = [(1, a), (1, b), (2, a), (5, c), (5, b + " x"), (2, a), (7, "one"), (7, "two"), (8, ""), (8, " "), (9, near)]
+    df = spark.createDataFrame([(*r, "u", "v", "w", "x", 1, "y", "z", "q", 2) for r in rows], CLASHING).repartition(3)
+    kept = exact_dedup.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted({r for r in rows} - {(1, a)})
+    assert {tuple(r)[2:] for r in kept.collect()} == {("u", "v", "w", "x", 1, "y", "z", "q", 2)}
+    kept = jaccard_join.keep_one(df)
+    assert kept.columns == df.columns
+    # {a of 1, a of 2, near of 9}: least id 1; {b of 1, b x of 5}: least id 1
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, a), (1, b), (5, c), (7, "one"), (7, "two"), (8, ""), (8, " ")])
+    assert {tuple(r)[2:] for r in kept.collect()} == {("u", "v", "w", "x", 1, "y", "z", "q", 2)}
+
+
+def test_quotient_filter_slots():
+    from liftloom.llm.exact_dedup import SLOTS, QuotientFilter
+
+    rng = np.random.default_rng(1)
+    for keys in (np.zeros(0, np.uint64), np.array([7], np.uint64), np.arange(50, dtype=np.uint64), np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64)), np.array([0, 2**64 - 1], np.uint64)):
+        f = QuotientFilter.of(keys, np.arange(1, len(keys) + 1))
+        assert np.array_equal(f.fingerprints(), keys) and np.array_equal(f.entries()[1], np.arange(1, len(keys) + 1))
+        assert len(f.occupied) * SLOTS <= 3 * len(keys) + 1
+        # runs are sorted and every slot right of its quotient's is marked
+        home = (keys >> np.uint64(f.low)).astype(object) - f.base if len(keys) else []
+        assert [bool(x) for x in f.shifted[f.used()]] == [int(h) != s for h, s in zip(home, f.used().tolist(), strict=True)]
+
+
 def test_quotient_filters_merge_without_loss():
     from liftloom.llm.exact_dedup import QuotientFilter
 
@@ -73,7 +107,7 @@ def test_quotient_filters_merge_without_loss():
     for f in filters[1:]:
         merged = merged.merge(QuotientFilter.from_bytes(f.to_bytes()))
     keys, counts = np.unique(np.concatenate(pools), return_counts=True)
-    assert np.array_equal(merged.fingerprints(), keys) and np.array_equal(merged.counts, counts)
+    assert np.array_equal(merged.fingerprints(), keys) and np.array_equal(merged.entries()[1], counts)
 
 
 def shingles(text):
@@ -275,21 +309,55 @@ def test_bpe_odd_texts_and_both_merge_orders():
     texts += ["".join(rng.choices("abcdeéöß中🙂 '-12\n", k=rng.randint(1, 400))) for _ in range(200)]
     for t in texts:
         assert np.frombuffer(codec.encode(t)[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
-        for word in codec.pattern.findall(codec.normalise(t)):
+        words = codec.words(t)
+        many = codec.merged_many([w.encode() for w in words if len(w.encode()) <= 64])
+        for word in words:
             letters = [codec.letters[b] for b in word.encode()]
             letters[-1] += codec.suffix
-            assert codec.merged(list(letters)) == codec.merged_heap(list(letters))
+            want = codec.merged(list(letters))
+            assert want == codec.merged_heap(list(letters))
+            if len(word.encode()) <= 64:
+                assert [codec.names[i] for i in many.pop(0).tolist()] == want
+
+
+def test_bpe_agrees_on_every_code_point_and_on_runs_of_marks():
+    import unicodedata
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from liftloom.llm.bpe import ODD, Codec
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    codec, library = Codec.from_file(path), Tokenizer.from_file(path)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(9)
+    marks = [c for c in points if unicodedata.category(c)[0] == "M"]
+    cased = [c for c in points if c.lower() != c]
+    odd = [chr(c) for c in np.flatnonzero(ODD)]
+    texts = ["".join(f"a{c}b {c} 1{c}{c} " for c in points[i : i + 16]) for i in range(0, len(points), 16)]
+    for pool in (points, marks, cased, odd, marks + odd):
+        texts += ["".join(rng.choices(pool, k=rng.randint(1, 12))) for _ in range(4000)]
+    for lo in range(0, len(texts), 4096):
+        some = texts[lo : lo + 4096]
+        for t, (ids, _, glued), want in zip(some, codec.encode_many(some), library.encode_batch(some, add_special_tokens=False), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == want.ids, t
+            assert codec.spell(codec.between.join(glued)) == library.decode(want.ids, skip_special_tokens=False), t
 
 
 def test_poisson_mixing(spark, docs, empty):
     from liftloom.llm.mixing import inverse_poisson, poisson_mixing
 
     out = poisson_mixing(docs)
-    assert set(out.columns) == {*docs.columns, "rate"}
+    assert out.columns == [*docs.columns, "rate", "_copy"]
+    clash = docs.selectExpr("doc_id", "source", "'a' as rate", "'b' as _source", "'c' as _n", "'d' as _key", "'e' as KEY", "text as source_name", "'f' as n")
+    mixed = poisson_mixing(clash)
+    assert mixed.columns == [*clash.columns, "_rate", "copy"]
+    assert set(map(tuple, mixed.select(clash.columns).collect())) <= set(map(tuple, clash.collect()))
     assert poisson_mixing(empty).count() == 0
     assert poisson_mixing(docs, total=0).count() == 0
     again = poisson_mixing(docs.repartition(2), partitions=3)
-    assert Counter(map(tuple, out.select("doc_id", "copy").collect())) == Counter(map(tuple, again.select("doc_id", "copy").collect()))
+    assert Counter(map(tuple, out.select("doc_id", "_copy").collect())) == Counter(map(tuple, again.select("doc_id", "_copy").collect()))
     with pytest.raises(ValueError):
         poisson_mixing(docs, {"s0": -1.0})
     only = poisson_mixing(docs, {"s0": 1.0}, total=400)
