@@ -1,22 +1,23 @@
 """Language-model scores from a weighted backoff automaton.
 
-The model is a smoothed bigram model learnt from the training documents.  Its states are the
-contexts (a word, or the begin of a text); a state has an arc for each seen continuation and a failure
-arc to the root, whose arcs are the single tokens.  A text is scored in one left-to-right traversal
-that carries the state: follow the arc of the next token, or take the failure arc and then the
-root's arc, and add the log-probabilities.
-
-With c counts, N tokens and V distinct tokens in training:
-    root(w)  = (c(w) + 1) / (N + V + 1)
-    m(h)     = MASS * c(h) ** GROWTH        (what a context leaves to the root)
-    arc(h,w) = (c(h,w) + m(h) * root(w)) / (c(h) + m(h))   if c(h,w) > 0
-    fail(h)  = m(h) / (c(h) + m(h))         (0 as log for an unseen context)
+The model is a smoothed trigram model learnt from the training documents.  The states of the automaton are the
+seen contexts: two tokens, one token, the begin of a text, and the root.  A state has an arc for each
+seen continuation and a failure arc to the state of the next shorter context; the root has an arc for every token.  A text is scored
+in one left-to-right traversal that carries the state: follow the arc of the next token, or take failure arcs until a
+state has one, and add up the log-probabilities.
+
+With c counts, N tokens and V distinct tokens in training, and h' the context h without its first token:
+    p(w)     = (c(w) + 1) / (N + V + 1)                       at the root
+    m(h)     = MASS * c(h) ** GROWTH                          what a context leaves to h'
+    p(w | h) = (c(h, w) + m(h) * p(w | h')) / (c(h) + m(h))   the arc, if c(h, w) > 0
+    fail(h)  = m(h) / (c(h) + m(h))
 so the probabilities of all tokens after a context sum to 1.
 
-The automaton of the whole corpus fits no single task, so each part of the documents (a few
-thousand) gets the slice that its own texts can reach: a part sends its distinct tokens and bigrams,
-with its training counts, to blocks of the hash space; a block adds the counts up and answers every
-part.  No hot word or bigram weighs more than one entry for a part.  All counts are exact (64-bit hashes).
+The automaton of the whole corpus fits no single task, so each part of the documents (about ``PART_BYTES`` of text)
+gets the slice that its own texts can reach: a part sends its distinct n-grams, with its training counts, to blocks of the
+hash space; a block adds the counts up and answers every part.  No hot word or n-gram weighs more than one entry
+for a part.  All counts are exact 64-bit sums over 64-bit hashes; on the way they take as many bytes as the largest needs, and keys are
+sent as differences.
 
 Defined cases: a null text is empty; an empty text is the end token alone.  A null id counts as the
 empty string for the fold and passes through.  Repeated rows count and are scored each.  Other
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ from . import common as C
 
 BEGIN, END = np.uint64(0x5BD1E995C0FFEE01), np.uint64(0x27D4EB2F165667C5)
 MASS, GROWTH = 5.0, 0.75
-PART_DOCS = 4096
+PART_BYTES = 1 << 23
 HELD_OUT_FOLD, FOLDS = 2, 7
 
 
@@ -60,15 +62,16 @@ class Tokens:
         self.seq = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         self.first = np.concatenate(first)
 
-    @property
-    def contexts(self) -> np.ndarray:
+    def ngrams(self) -> list[np.ndarray]:
+        """Hashes of the token, bigram and trigram that end at each place; the first token of a text follows ``BEGIN``, and its trigram is its bigram."""
         before = np.empty_like(self.seq)
         before[1:] = self.seq[:-1]
         before[self.first[:-1]] = BEGIN
-        return before
-
-    def bigrams(self) -> np.ndarray:
-        return C.mix(self.contexts * np.uint64(0x9FB21C651E98DF25) + self.seq)
+        two = C.mix(before * np.uint64(0x9FB21C651E98DF25) + self.seq)
+        three = np.empty_like(two)
+        three[1:] = C.mix(two[:-1] * np.uint64(0xD6E8FEB86659FD93) + self.seq[1:])
+        three[self.first[:-1]] = two[self.first[:-1]]
+        return [self.seq, two, three]
 
     def spread(self, per_text: np.ndarray) -> np.ndarray:
         return np.repeat(per_text, np.diff(self.first))
@@ -108,98 +111,191 @@ def totals(docs: DataFrame, blocks: int) -> tuple[int, int]:
 
 
 class Automaton:
-    """The slice of the backoff automaton for sorted tokens and bigrams with their training counts."""
-
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray, n: int, v: int, begins: int, arcs: np.ndarray, arc_counts: np.ndarray):
-        self.tokens, self.arcs = tokens, arcs
-        self.known = counts > 0
-        self.root = np.log10((counts + 1) / (n + v + 1))
-        self.seen = counts.astype(float)
-        self.begins = float(begins)
-        self.arc_counts = arc_counts
-
-    def traverse(self, states: np.ndarray, word: np.ndarray, arc: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probability of each token along texts: (automaton, root alone).
-
-        ``states``: token index of each state (where ``begin``, the start state); ``word``: token
-        index read; ``arc``: bigram index.  The state after a token is the token's context, so the
-        states of a whole text are its tokens shifted by one, and no step waits for another.
-        """
-        c = np.where(begin, self.begins, self.seen[states])
-        m = MASS * c**GROWTH
-        root = self.root[word]
-        pairs = self.arc_counts[arc]
-        seen = pairs > 0
-        out = root.copy()
-        out[seen] = np.log10((pairs[seen] + m[seen] * 10 ** root[seen]) / (c[seen] + m[seen]))
-        fails = ~seen & (c > 0)
-        out[fails] += np.log10(m[fails] / (c[fails] + m[fails]))
-        return out, root
-
-
-def lm_scores(docs: DataFrame, part_docs: int = PART_DOCS) -> DataFrame:
+    """The slice of the backoff automaton that a part's texts can reach.
+
+    States: 0 the root, 1 the begin of a text, then one for each token and each bigram of the slice (used where it was
+    seen).  ``kinds`` names the token, bigram and trigram at each place of the texts, by their numbers in the slice.
+    """
+
+    def __init__(self, kinds: list[np.ndarray], starts: np.ndarray, counts: list[np.ndarray], n: int, v: int, begins: int):
+        one, two, three = counts
+        token, pair, triple = kinds
+        self.seen = [two > 0, three > 0]
+        self.first_pair = 2 + len(one)
+        contexts = np.concatenate([[0, begins], one, two]).astype(float)
+        left = MASS * contexts**GROWTH
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.fail_log = np.where(contexts > 0, np.log10(left / (contexts + left)), 0.0)  # an unseen context costs nothing
+        self.fail = np.zeros(len(contexts), np.int64)
+        self.fail[self.first_pair + pair] = 2 + token  # the state of a pair fails to that of its second token
+        # arcs of the root, of single tokens and of pairs: probabilities by token, pair and triple
+        root = (one + 1) / (n + v + 1)
+        context = self._before(2 + token, starts, 1)
+        lower = root[token]
+        arcs = [root]
+        for number, count in ((pair, two), (triple, three)):
+            p = np.zeros(len(count))
+            p[number] = (count[number] + left[context] * lower) / np.maximum(contexts[context] + left[context], 1e-300)
+            arcs.append(p)
+            context, lower = self._before(self.first_pair + pair, starts, 1), p[number]
+        self.root_log = np.log10(root)
+        with np.errstate(divide="ignore"):
+            self.arc_log = [np.log10(arcs[1]), np.log10(arcs[2])]
+        # The state that the traversal is in after a token: the longest seen context that ends there, whatever came before,
+        # as an arc or a failure leads there from any state.  So the states of all steps are known at once.
+        after = np.where(self.seen[0][pair], self.first_pair + pair, np.where(one[token] > 0, 2 + token, 0))
+        self.states = self._before(after, starts, 1)
+        self.fail[1] = 0
+        self.known = one > 0
+
+    @staticmethod
+    def _before(states: np.ndarray, starts: np.ndarray, begin: int) -> np.ndarray:
+        """The state before each token: that after the one before it, at the start of a text the state ``begin``."""
+        out = np.empty_like(states)
+        out[1:] = states[:-1]
+        out[starts] = begin
+        return out
+
+    def traverse(self, kinds: list[np.ndarray], starts: np.ndarray) -> np.ndarray:
+        """Log-probability of each token: the arc of its state, or failure arcs first."""
+        token, pair, triple = kinds
+        out, state = np.zeros(len(token)), self.states.copy()
+        todo = np.arange(len(token))
+        while len(todo):
+            s = state[todo]
+            of_pair, of_one = s >= self.first_pair, (s > 0) & (s < self.first_pair)
+            found = s == 0
+            found[of_pair] = self.seen[1][triple[todo[of_pair]]]
+            found[of_one] = self.seen[0][pair[todo[of_one]]]
+            for mask, table, number in ((of_pair & found, self.arc_log[1], triple), (of_one & found, self.arc_log[0], pair), (s == 0, self.root_log, token)):
+                out[todo[mask]] += table[number[todo[mask]]]
+            todo, s = todo[~found], s[~found]
+            out[todo] += self.fail_log[s]
+            state[todo] = self.fail[s]
+        return out
+
+
+def narrow(x: np.ndarray) -> bytes:
+    """The byte planes of non-negative integers, as many as the largest needs, compressed."""
+    x = x.astype(np.uint64)
+    width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    data = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), 8)[:, :width].T).tobytes()
+    return np.array([len(x), width], np.int64).tobytes() + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def widen(data: memoryview) -> np.ndarray:
+    """What ``narrow`` made, as unsigned 64-bit integers."""
+    n, width = np.frombuffer(data[:16], np.int64).tolist()
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :width] = np.frombuffer(pa.decompress(data[16:], decompressed_size=n * width, codec="zstd"), np.uint8).reshape(width, n).T
+    return out.view(np.uint64).ravel()
+
+
+def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [widen(memoryview(x.as_buffer())) if x.is_valid else np.zeros(0, np.uint64) for x in column]
+
+
+def parted(docs: DataFrame, part_bytes: int) -> DataFrame:
+    """(part, rows binary): the rows of each task in parts of about ``part_bytes`` of text, compressed."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, count = TaskContext.get().partitionId(), 0
+        held, size = [], 0
+
+        def part() -> pa.RecordBatch:
+            out = pa.BufferOutputStream()
+            table = pa.Table.from_batches(held)
+            with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_table(table)
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | count], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["part", "rows"])
+
+        for batch in batches:
+            _, at = C.string_parts(batch.column(1))
+            for lo, hi in C.slices(at, part_bytes // 8):
+                held.append(batch.slice(lo, hi - lo))
+                size += int(at[hi] - at[lo]) + 16 * (hi - lo)
+                if size >= part_bytes:
+                    yield part()
+                    held, size, count = [], 0, count + 1
+        if held:
+            yield part()
+
+    return docs.mapInArrow(C.tidied(work), "part long, rows binary")
+
+
+def lm_scores(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per document."""
-    spark = docs.sparkSession
     docs = folded(docs)
-    blocks = C.n_blocks(spark)
+    blocks = C.n_blocks_of(docs)
     n, v = totals(docs, blocks)
-    sizes = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("held_out")).alias("begins")).first()
-    begins = sizes.begins
-    parts = max(1, -(-sizes.rows // part_docs))
-    dealt = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
-    # One exchange of the texts serves both uses below.
-    dealt = dealt.repartition(blocks, "part")
-
-    def slice_of(table: pa.Table) -> tuple[Tokens, list[np.ndarray]]:
-        tokens = Tokens(table.column("text"))
-        return tokens, [tokens.seq, tokens.bigrams()]
-
-    def ask(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        tokens, kinds = slice_of(table)
-        train = tokens.spread(~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool))
-        rows = []
-        for kind, values in enumerate(kinds):
-            keys, at = np.unique(values, return_inverse=True)
-            counts = np.bincount(at[train], minlength=len(keys)).astype(np.uint32)
-            rows += [(block, part, kind, *data) for block, data in C.packed(blocks, keys, counts, form=C.planes)]
-        return pa.table(dict(zip(["block", "part", "kind", "keys", "counts"], [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()], strict=True)], strict=True)))
+    begins = docs.where(~F.col("held_out")).count()
+    # Written once, so that the two uses below see the same parts whatever executors are lost.
+    parts = C.cut(parted(docs, part_bytes))
+    columns = [f"{x}{k}" for k in (1, 2, 3) for x in ("keys", "counts")]
+
+    def read(rows: pa.Scalar) -> tuple[pa.Table, Tokens, list[np.ndarray]]:
+        table = pa.ipc.open_stream(rows.as_buffer()).read_all()
+        tokens = Tokens(table.column(1))
+        return table, tokens, tokens.ngrams()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                table, tokens, kinds = read(packed)
+                train = tokens.spread(~table.column(2).to_numpy(zero_copy_only=False).astype(bool))
+                sent: dict[int, list] = {}
+                for k, values in enumerate(kinds):
+                    keys, at = np.unique(values, return_inverse=True)
+                    counts = np.bincount(at[train], minlength=len(keys))
+                    cuts = np.searchsorted(C.to_block(keys, blocks), np.arange(blocks + 1, dtype=np.uint64))
+                    for block in np.flatnonzero(np.diff(cuts)).tolist():
+                        some = slice(cuts[block], cuts[block + 1])
+                        row = sent.setdefault(block, [None] * 6)
+                        row[2 * k], row[2 * k + 1] = narrow(np.diff(keys[some], prepend=np.uint64(0))), narrow(counts[some])
+                rows = [(block, part, *row) for block, row in sent.items()]
+                kinds_of = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds_of, strict=True)], names=["block", "part", *columns])
 
     def answer(table: pa.Table) -> pa.Table:
-        out: list[tuple] = []
         block = table.column("block")[0].as_py()
-        kinds = table.column("kind").to_numpy()
-        for kind in np.unique(kinds).tolist():
-            some = table.take(pa.array(np.flatnonzero(kinds == kind)))
-            lengths = [len(x.as_buffer()) // 8 for x in some.column("keys")]
-            _, at = np.unique(C.unplanes(some.column("keys"), np.uint64), return_inverse=True)
-            sums = np.bincount(at, weights=C.unplanes(some.column("counts"), np.uint32))[at].astype(np.uint32)
-            ends = np.cumsum(lengths)
-            out += [(p, kind, block, C.planes(sums[e - k : e])) for p, k, e in zip(some.column("part").to_pylist(), lengths, ends.tolist(), strict=True)]
-        return pa.table({name: pa.array(c, t) for (name, t), c in zip([("part", pa.int32()), ("kind", pa.int32()), ("block", pa.int32()), ("counts", pa.binary())], zip(*out, strict=True), strict=True)})
+        out = [table.column("part"), pa.array([block] * len(table), pa.int32())]
+        for k in (1, 2, 3):
+            keys = [np.cumsum(x, dtype=np.uint64) for x in _arrays(table.column(f"keys{k}"))]
+            counts = np.concatenate(_arrays(table.column(f"counts{k}"))).astype(np.int64)
+            every = np.concatenate(keys)
+            order = np.argsort(every, kind="stable")
+            every, counts = every[order], counts[order]
+            fresh = np.ones(len(every), bool)
+            fresh[1:] = every[1:] != every[:-1]
+            sums = np.zeros(len(every), np.int64)
+            if len(every):
+                sums[order] = np.add.reduceat(counts, np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
+            ends = np.cumsum([len(x) for x in keys])
+            out.append(pa.array([narrow(sums[e - len(x) : e]) for x, e in zip(keys, ends.tolist(), strict=True)], pa.binary()))
+        return pa.table(out, names=["part", "block", "counts1", "counts2", "counts3"])
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        tokens, kinds = slice_of(texts)
-        order = answers.sort_by([("kind", "ascending"), ("block", "ascending")])
-        which = order.column("kind").to_numpy()
-        counts = [C.unplanes(order.filter(pa.array(which == kind)).column("counts"), np.uint32).astype(np.int64) for kind in (0, 1)]
-        (vocabulary, word), (arcs, arc) = (np.unique(x, return_inverse=True) for x in kinds)
-        machine = Automaton(vocabulary, counts[0], n, v, begins, arcs, counts[1])
-        states = np.empty_like(word)
-        states[1:] = word[:-1]
-        begin = np.zeros(len(word), bool)
-        begin[tokens.first[:-1]] = True
-        states[begin] = 0
-        log_p, base = machine.traverse(states, word, arc, begin)
+        table, tokens, values = read(texts.column("rows")[0])
+        order = answers.sort_by("block")
+        counts = [np.concatenate(_arrays(order.column(f"counts{k}"))).astype(np.int64) for k in (1, 2, 3)]
+        kinds = [np.unique(x, return_inverse=True)[1] for x in values]
         starts = tokens.first[:-1]
-        rows = texts.num_rows
+        machine = Automaton(kinds, starts, counts, n, v, begins)
+        log_p = machine.traverse(kinds, starts)
         return pa.table({
-            "doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(np.diff(tokens.first)),
-            "n_known": pa.array(np.add.reduceat(machine.known[word].astype(np.int64), starts)), "train_tokens": pa.array(np.full(rows, n, np.int64)),
-            "base_score": pa.array(np.add.reduceat(base, starts)), "score": pa.array(np.add.reduceat(log_p, starts)),
+            "doc_id": table.column(0), "held_out": table.column(2), "n_tokens": pa.array(np.diff(tokens.first)),
+            "n_known": pa.array(np.add.reduceat(machine.known[kinds[0]].astype(np.int64), starts)), "train_tokens": pa.array(np.full(len(table), n, np.int64)),
+            "base_score": pa.array(np.add.reduceat(machine.root_log[kinds[0]], starts)), "score": pa.array(np.add.reduceat(log_p, starts)),
         })
 
-    asked = dealt.groupBy("part").applyInArrow(ask, "block int, part int, kind int, keys binary, counts binary")
-    answers = C.per_block(asked, answer, "part int, kind int, block int, counts binary")
+    asked = parts.mapInArrow(C.tidied(ask), "block int, part long, " + ", ".join(f"{c} binary" for c in columns))
+    answers = C.per_block(asked, answer, "part long, block int, counts1 binary, counts2 binary, counts3 binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(score, schema)
+
+    def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        out = score(texts, answers)
+        C.trim()
+        return out
+
+    return parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(scored, schema)

@@ -168,39 +168,79 @@ def test_jaccard_join_of_large_groups(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df).collect()} == want
 
 
-def test_lm_scores(docs, empty):
-    from liftloom.llm.lm_score import GROWTH, MASS, lm_scores
+def brute_lm(texts):
+    """n, and a function that walks the automaton of order 3 through words: (n_known, base, score); texts: (held out, words with None as end)."""
+    from liftloom.llm.lm_score import GROWTH, MASS
 
-    name = lambda i: b"" if i is None else str(i).encode()
-    texts = [(i, zlib.crc32(name(i)) % 7 == 2, [*WORD.findall(lowered(t)), None]) for i, t, *_ in rows_of()]
-    one, two, context = Counter(), Counter(), Counter()
-    for _, held, words in texts:
+    count, context = Counter(), Counter({(): 0})
+    for held, words in texts:
         if not held:
-            one.update(words)
-            for h, w in zip([0, *words], words, strict=False):
-                two[h, w] += 1
-                context[h] += 1
-    n, v = sum(one.values()), len(one)
-    root = lambda w: (one[w] + 1) / (n + v + 1)
+            padded = ["<begin>", *words]
+            for i in range(1, len(padded)):
+                for k in range(3):
+                    if i - k >= 0:
+                        context[tuple(padded[i - k : i])] += 1
+                        count[tuple(padded[i - k : i + 1])] += 1
+    n, v = sum(c for h, c in count.items() if len(h) == 1), sum(1 for h in count if len(h) == 1)
 
     def p(h, w):
+        if not h:
+            return (count[w,] + 1) / (n + v + 1)
         c = context[h]
         m = MASS * c**GROWTH
-        return (two[h, w] + m * root(w)) / (c + m) if c else root(w)
+        return (count[(*h, w)] + m * p(h[1:], w)) / (c + m)
+
+    def walk(words):
+        state, score = ("<begin>",), 0.0
+        for w in words:
+            while state and not count[(*state, w)]:  # failure arcs
+                m = MASS * context[state] ** GROWTH
+                score += math.log10(m / (context[state] + m))
+                state = state[1:]
+            score += math.log10(p(state, w))
+            state = (*state, w)[-2:]
+            while state and not context[state]:
+                state = state[1:]
+        return sum(count[w,] > 0 for w in words), sum(math.log10(p((), w)) for w in words), score
+
+    return n, p, walk, [w for (w, *more) in count if not more], context
+
+
+def test_lm_scores(docs, empty):
+    from liftloom.llm.lm_score import lm_scores
 
-    for h in [0, *list(one)[:20]]:  # probabilities of all tokens and one unknown sum to 1
-        assert math.isclose(sum(p(h, w) for w in one) + p(h, "?"), 1, rel_tol=1e-9)
+    name = lambda i: b"" if i is None else str(i).encode()
+    texts = [(i, zlib.crc32(name(i)) % 7 == 2, [*WORD.findall(lowered(t)), None]) for i, t, *_ in rows_of()]
+    n, p, walk, words, context = brute_lm([t[1:] for t in texts])
+    for h in [("<begin>",), *[h for h in context if h and None not in h and len(h) == 2][:10], *[(w,) for w in words if w][:10]]:  # all tokens and one unknown sum to 1
+        assert math.isclose(sum(p(h, w) for w in words) + p(h, "?"), 1, rel_tol=1e-9)
     want = defaultdict(list)
-    for i, held, words in texts:
-        want[i].append((held, len(words), sum(one[w] > 0 for w in words), n, sum(math.log10(root(w)) for w in words), sum(math.log10(p(h, w)) for h, w in zip([0, *words], words, strict=False))))
+    for i, held, w in texts:
+        known, base, score = walk(w)
+        want[i].append((held, len(w), known, n, base, score))
     got = defaultdict(list)
-    for r in lm_scores(docs, part_docs=7).collect():
+    for r in lm_scores(docs, part_bytes=2000).collect():
         got[r.doc_id].append((r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score))
     assert got.keys() == want.keys()
     for i in want:
         for a, b in zip(sorted(got[i]), sorted(want[i]), strict=True):
             assert a == pytest.approx(b, rel=1e-9)
     assert lm_scores(empty).count() == 0
+    nothing = lm_scores(docs.where(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(7)) == 2)).collect()
+    assert nothing and all(r.train_tokens == r.n_known == 0 and r.score == r.base_score == 0 for r in nothing)
+
+
+def test_lm_counts_beyond_32_bits():
+    import pyarrow as pa
+
+    from liftloom.llm import common
+    from liftloom.llm.lm_score import narrow, widen
+
+    for values in ([], [0], [1, 255, 3], [2**33 + 5, 1], [2**63, 7]):
+        x = np.array(values, np.uint64)
+        assert np.array_equal(widen(memoryview(narrow(x))), x)
+    keys, sums = common.sum_by_key(np.array([5, 5, 9], np.uint64), np.array([4 * 10**9, 4 * 10**9, 1]))
+    assert keys.tolist() == [5, 9] and sums.tolist() == [8 * 10**9, 1] and pa.array(sums).to_pylist()[0] > 2**32
 
 
 def test_language_id(spark, docs, empty):

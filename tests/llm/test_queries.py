@@ -1,7 +1,6 @@
 """The registered queries on sf0.001 against their SQL or a brute force."""
 
 import hashlib
-import math
 import re
 import zlib
 from collections import Counter
@@ -31,25 +30,16 @@ def test_equals_sql(spark, name):
 
 
 def test_op4(spark):
+    from tests.llm.test_documents import brute_lm
+
     texts = [(i, zlib.crc32(str(i).encode()) % 7 == 2, [*WORD.findall((t or "").encode().lower()), None]) for i, t in documents(spark)]
-    one, two, context = Counter(), Counter(), Counter()
-    for _, held, words in texts:
-        if not held:
-            one.update(words)
-            two.update(zip([0, *words], words))
-            context.update([0, *words[:-1]])
-    n, v = sum(one.values()), len(one)
+    n, _, walk, _, _ = brute_lm([t[1:] for t in texts])
     got = {r.doc_id: r for r in queries.op4_backoff_lm(spark, SF).collect()}
     assert len(got) == len(texts)
     for i, held, words in texts:
-        base = score = 0.0
-        for h, w in zip([0, *words], words):
-            root, c = (one[w] + 1) / (n + v + 1), context[h]
-            m = 5 * c**0.75
-            base += math.log10(root)
-            score += math.log10((two[h, w] + m * root) / (c + m) if c else root)
+        known, base, score = walk(words)
         r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, len(words), sum(one[w] > 0 for w in words), n)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, len(words), known, n)
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
