@@ -16,7 +16,9 @@ so the probabilities of all tokens after a context sum to 1.
 The automaton of the whole corpus fits no single task, so each part of the documents (about ``PART_BYTES`` of text)
 gets the slice that its own texts can reach: a part sends its distinct n-grams, with its training counts, to blocks of the
 hash space; a block adds the counts up and answers every part.  No hot word or n-gram weighs more than one entry
-for a part.  All counts are exact 64-bit sums over 64-bit hashes; on the way they take as many bytes as the largest needs, and keys are
+for a part.  Tokens and bigrams go first.  A trigram is only asked for where other parts hold both of its bigrams: if
+one of them is in no other part, the part's own count of the trigram is the whole.
+All counts are exact 64-bit sums over 64-bit hashes; on the way they take as many bytes as the largest needs, and keys are
 sent as differences.
 
 Defined cases: a null text is empty; an empty text is the end token alone.  A null id counts as the
@@ -224,78 +226,117 @@ def parted(docs: DataFrame, part_bytes: int) -> DataFrame:
     return docs.mapInArrow(C.tidied(work), "part long, rows binary")
 
 
+class Part:
+    """The n-grams of the texts of a part."""
+
+    def __init__(self, rows: pa.Scalar):
+        self.table = pa.ipc.open_stream(rows.as_buffer()).read_all()
+        self.tokens = Tokens(self.table.column(1))
+        self.starts = self.tokens.first[:-1]
+        self.train = self.tokens.spread(~self.table.column(2).to_numpy(zero_copy_only=False).astype(bool))
+        self.keys, self.kinds, self.places = [], [], []
+        for values in self.tokens.ngrams():
+            keys, place, at = np.unique(values, return_index=True, return_inverse=True)
+            self.keys.append(keys)
+            self.places.append(place)
+            self.kinds.append(at)
+
+    def own(self, kind: int) -> np.ndarray:
+        """The counts of each n-gram in this part's training texts."""
+        return np.bincount(self.kinds[kind][self.train], minlength=len(self.keys[kind]))
+
+    def shared(self, elsewhere: np.ndarray) -> np.ndarray:
+        """Which trigrams may occur in other parts, given whether each bigram does."""
+        here = elsewhere[self.kinds[1]]
+        both = np.zeros(len(here), bool)
+        both[1:] = here[1:] & here[:-1]
+        both[self.starts] = False
+        return both[self.places[2]]
+
+
+def requests(part: int, asked: dict[int, tuple[np.ndarray, np.ndarray]], blocks: int) -> pa.Table:
+    """Rows (block, part, keys and counts of each kind) for sorted n-grams with counts, by kind."""
+    sent: dict[int, list] = {}
+    for k, (keys, counts) in enumerate(asked.values()):
+        cuts = np.searchsorted(C.to_block(keys, blocks), np.arange(blocks + 1, dtype=np.uint64))
+        for block in np.flatnonzero(np.diff(cuts)).tolist():
+            some = slice(cuts[block], cuts[block + 1])
+            row = sent.setdefault(block, [None] * 2 * len(asked))
+            row[2 * k], row[2 * k + 1] = narrow(np.diff(keys[some], prepend=np.uint64(0))), narrow(counts[some])
+    names = ["block", "part", *(f"{x}{kind}" for kind in asked for x in ("keys", "counts"))]
+    columns = list(zip(*((block, part, *row) for block, row in sent.items()), strict=True)) or [()] * len(names)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int32(), pa.int64(), *[pa.binary()] * 2 * len(asked)], strict=True)], names=names)
+
+
+def answered(asked: DataFrame, kinds: tuple[int, ...]) -> DataFrame:
+    """(part, block, counts of each kind): for the n-grams that each part asked for, in its order, twice the sum over all parts, and one more if several parts asked."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        out = [table.column("part"), table.column("block")]
+        for kind in kinds:
+            keys = [np.cumsum(x, dtype=np.uint64) for x in _arrays(table.column(f"keys{kind}"))]
+            counts = np.concatenate(_arrays(table.column(f"counts{kind}"))).astype(np.int64)
+            every = np.concatenate(keys)
+            order = np.argsort(every, kind="stable")
+            every, counts = every[order], counts[order]
+            fresh = np.ones(len(every), bool)
+            fresh[1:] = every[1:] != every[:-1]
+            sums = np.zeros(len(every), np.int64)
+            if len(every):
+                starts = np.flatnonzero(fresh)
+                holders = np.diff(np.append(starts, len(every)))
+                sums[order] = (2 * np.add.reduceat(counts, starts) + (holders > 1))[np.cumsum(fresh) - 1]
+            ends = np.cumsum([len(x) for x in keys])
+            out.append(pa.array([narrow(sums[e - len(x) : e]) for x, e in zip(keys, ends.tolist(), strict=True)], pa.binary()))
+        return pa.table(out, names=["part", "block", *(f"counts{kind}" for kind in kinds)])
+
+    return C.per_block(asked, answer, "part long, block int, " + ", ".join(f"counts{kind} binary" for kind in kinds))
+
+
 def lm_scores(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per document."""
     docs = folded(docs)
     blocks = C.n_blocks_of(docs)
     n, v = totals(docs, blocks)
     begins = docs.where(~F.col("held_out")).count()
-    # Written once, so that the two uses below see the same parts whatever executors are lost.
+    # Written once, so that the uses below see the same parts whatever executors are lost.
     parts = C.cut(parted(docs, part_bytes))
-    columns = [f"{x}{k}" for k in (1, 2, 3) for x in ("keys", "counts")]
 
-    def read(rows: pa.Scalar) -> tuple[pa.Table, Tokens, list[np.ndarray]]:
-        table = pa.ipc.open_stream(rows.as_buffer()).read_all()
-        tokens = Tokens(table.column(1))
-        return table, tokens, tokens.ngrams()
+    def counts_of(answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """(count, whether other parts hold it) of each n-gram that was asked for."""
+        both = np.concatenate([*_arrays(answers.column(f"counts{kind}")), np.zeros(0, np.uint64)]).astype(np.int64)
+        return both >> 1, both & 1 == 1
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                table, tokens, kinds = read(packed)
-                train = tokens.spread(~table.column(2).to_numpy(zero_copy_only=False).astype(bool))
-                sent: dict[int, list] = {}
-                for k, values in enumerate(kinds):
-                    keys, at = np.unique(values, return_inverse=True)
-                    counts = np.bincount(at[train], minlength=len(keys))
-                    cuts = np.searchsorted(C.to_block(keys, blocks), np.arange(blocks + 1, dtype=np.uint64))
-                    for block in np.flatnonzero(np.diff(cuts)).tolist():
-                        some = slice(cuts[block], cuts[block + 1])
-                        row = sent.setdefault(block, [None] * 6)
-                        row[2 * k], row[2 * k + 1] = narrow(np.diff(keys[some], prepend=np.uint64(0))), narrow(counts[some])
-                rows = [(block, part, *row) for block, row in sent.items()]
-                kinds_of = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds_of, strict=True)], names=["block", "part", *columns])
+            for number, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = Part(rows)
+                yield from requests(number, {k + 1: (part.keys[k], part.own(k)) for k in (0, 1)}, blocks).to_batches()
 
-    def answer(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        out = [table.column("part"), pa.array([block] * len(table), pa.int32())]
-        for k in (1, 2, 3):
-            keys = [np.cumsum(x, dtype=np.uint64) for x in _arrays(table.column(f"keys{k}"))]
-            counts = np.concatenate(_arrays(table.column(f"counts{k}"))).astype(np.int64)
-            every = np.concatenate(keys)
-            order = np.argsort(every, kind="stable")
-            every, counts = every[order], counts[order]
-            fresh = np.ones(len(every), bool)
-            fresh[1:] = every[1:] != every[:-1]
-            sums = np.zeros(len(every), np.int64)
-            if len(every):
-                sums[order] = np.add.reduceat(counts, np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
-            ends = np.cumsum([len(x) for x in keys])
-            out.append(pa.array([narrow(sums[e - len(x) : e]) for x, e in zip(keys, ends.tolist(), strict=True)], pa.binary()))
-        return pa.table(out, names=["part", "block", "counts1", "counts2", "counts3"])
+    def ask_shared(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        part = Part(texts.column("rows")[0])
+        some = part.shared(counts_of(answers.sort_by("block"), 2)[1])
+        return requests(texts.column("part")[0].as_py(), {3: (part.keys[2][some], part.own(2)[some])}, blocks)
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        table, tokens, values = read(texts.column("rows")[0])
-        order = answers.sort_by("block")
-        counts = [np.concatenate(_arrays(order.column(f"counts{k}"))).astype(np.int64) for k in (1, 2, 3)]
-        kinds = [np.unique(x, return_inverse=True)[1] for x in values]
-        starts = tokens.first[:-1]
-        machine = Automaton(kinds, starts, counts, n, v, begins)
-        log_p = machine.traverse(kinds, starts)
+        part = Part(texts.column("rows")[0])
+        answers = answers.sort_by("block")
+        pairs, elsewhere = counts_of(answers, 2)
+        counts = [counts_of(answers, 1)[0], pairs, part.own(2)]
+        counts[2][part.shared(elsewhere)] = counts_of(answers, 3)[0]
+        machine = Automaton(part.kinds, part.starts, counts, n, v, begins)
+        log_p = machine.traverse(part.kinds, part.starts)
+        table, token = part.table, part.kinds[0]
+        C.trim()
         return pa.table({
-            "doc_id": table.column(0), "held_out": table.column(2), "n_tokens": pa.array(np.diff(tokens.first)),
-            "n_known": pa.array(np.add.reduceat(machine.known[kinds[0]].astype(np.int64), starts)), "train_tokens": pa.array(np.full(len(table), n, np.int64)),
-            "base_score": pa.array(np.add.reduceat(machine.root_log[kinds[0]], starts)), "score": pa.array(np.add.reduceat(log_p, starts)),
+            "doc_id": table.column(0), "held_out": table.column(2), "n_tokens": pa.array(np.diff(part.tokens.first)),
+            "n_known": pa.array(np.add.reduceat(machine.known[token].astype(np.int64), part.starts)), "train_tokens": pa.array(np.full(len(table), n, np.int64)),
+            "base_score": pa.array(np.add.reduceat(machine.root_log[token], part.starts)), "score": pa.array(np.add.reduceat(log_p, part.starts)),
         })
 
-    asked = parts.mapInArrow(C.tidied(ask), "block int, part long, " + ", ".join(f"{c} binary" for c in columns))
-    answers = C.per_block(asked, answer, "part long, block int, counts1 binary, counts2 binary, counts3 binary")
+    asked = parts.mapInArrow(C.tidied(ask), "block int, part long, keys1 binary, counts1 binary, keys2 binary, counts2 binary")
+    first = C.cut(answered(asked, (1, 2)))
+    asked = parts.groupBy("part").cogroup(first.groupBy("part")).applyInArrow(ask_shared, "block int, part long, keys3 binary, counts3 binary")
+    every = first.unionByName(answered(asked, (3,)), allowMissingColumns=True)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-    def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        out = score(texts, answers)
-        C.trim()
-        return out
-
-    return parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(scored, schema)
+    return parts.groupBy("part").cogroup(every.groupBy("part")).applyInArrow(score, schema)
