@@ -5,7 +5,7 @@ pairs that were scanned, so a blob that many paths share, or that an earlier run
 once per rule version.  Findings belong to blobs and are joined back to every path.
 
 A blob that fails a rule's plain screen cannot match it and enters the ledger without its text
-being moved; only suspicious blobs are shuffled, each once.
+being moved; only suspicious blobs are shuffled, each once a run.
 
 Defined cases: a null text is an empty blob.  Rows repeating id and text each get a row in the
 result.  A null id is carried through.  Other columns are ignored.  Empty tables give no rows.
@@ -60,7 +60,7 @@ def suspects(rule: Rule) -> Column:
 
 
 def scan(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(blob, kind, rank, s, e) of every finding in ``texts`` (blob, text, one row each)."""
+    """(blob, kind, rank, s, e) of every finding in ``texts`` (blob, text, todo: the kinds to scan for; one row each)."""
     found = None
     for rank, rule in enumerate(rules):
         full = F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0))
@@ -69,7 +69,7 @@ def scan(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
             F.transform(full, F.length).alias("len"),
             F.transform(F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(rule.group)), F.length).alias("val"),
         )
-        rows = texts.where(suspects(rule)).select("blob", F.posexplode(parts).alias("i", "m")).select("blob", "i", "m.*").where("len is not null")
+        rows = texts.where(F.array_contains("todo", rule.kind) & suspects(rule)).select("blob", F.posexplode(parts).alias("i", "m")).select("blob", "i", "m.*").where("len is not null")
         upto = F.sum(F.col("gap") + F.col("len")).over(Window.partitionBy("blob").orderBy("i"))
         rows = rows.withColumn("e", upto).where(F.col("val") >= rule.least)
         rows = rows.select("blob", F.lit(rule.kind).alias("kind"), F.lit(rank).alias("rank"), (F.col("e") - F.col("len")).cast("long").alias("s"), F.col("e").cast("long"))
@@ -81,34 +81,41 @@ def scan_ledger(docs: DataFrame, ledger: DataFrame | None = None, findings: Data
     """(paths, findings, ledger) after scanning the unseen pairs of blob and rule version.
 
     ``ledger`` (blob, kind, version) and ``findings`` (blob, kind, rank, s, e) are those of earlier
-    runs.  A blob is skipped if all of its pairs were seen; findings of a superseded version go.
+    runs.  Each blob is scanned only for the rules whose version it was not scanned for; what earlier versions of those rules found in it goes.
     """
     spark = docs.sparkSession
     named = blobs(docs)
-    todo = named
+    known = spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")
+    every = F.array(*(F.lit(r.kind) for r in rules))
+    # Equal keys are combined before the shuffle, so a blob that many paths share moves once per task.
+    todo = named.select("blob").distinct().withColumn("todo", every)
     if ledger is not None:
-        current = F.lit(False)
-        for rule in rules:
-            current = current | ((F.col("kind") == rule.kind) & (F.col("version") == rule.version))
-        seen = ledger.where(current).groupBy("blob").agg(F.count_distinct("kind").alias("n")).where(F.col("n") == len(rules))
-        todo = named.join(seen, "blob", "left_anti")
+        seen = ledger.join(F.broadcast(known), ["kind", "version"]).groupBy("blob").agg(F.collect_set("kind").alias("seen"))  # at most one entry a rule
+        todo = todo.join(seen, "blob", "left").select("blob", F.array_except("todo", F.coalesce("seen", F.array().cast("array<string>"))).alias("todo"))
+    todo = C.cut(todo.where(F.size("todo") > 0))
     any_rule = F.lit(False)
     for rule in rules:
         any_rule = any_rule | suspects(rule)
-    # Equal keys are combined before the shuffle, so a blob that many paths share moves once per task.
-    texts = C.cut(todo.where(any_rule).groupBy("blob", "text").agg(F.count(F.lit(1)).alias("copies")))
-    fresh = scan(texts, rules)
+    texts = named.where(any_rule).groupBy("blob", "text").agg(F.count(F.lit(1)).alias("copies"))
+    texts = C.cut(texts.join(todo, "blob"))
+    fresh = C.cut(scan(texts, rules))
     paths = named.select("path", "blob")
-    now = todo.select("blob").distinct().crossJoin(F.broadcast(spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")))
+    now = todo.select("blob", F.explode("todo").alias("kind")).join(F.broadcast(known), "kind").select("blob", "kind", "version")
     if ledger is not None:
-        old = findings.join(todo.select("blob").distinct(), "blob", "left_anti")
+        old = findings.join(now.select("blob", "kind"), ["blob", "kind"], "left_anti").select(fresh.columns)
         fresh, now = old.unionByName(fresh), ledger.unionByName(now).distinct()
     return paths, fresh, now
 
 
 def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    paths, found, _ = scan_ledger(docs, rules=rules)
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
+
+    The base rules are scanned for first; the run for all rules finds their pairs in the ledger and scans for the others only.
+    """
+    _, found, ledger = scan_ledger(docs, rules=tuple(r for r in rules if r.base))
+    rank = {r.kind: k for k, r in enumerate(rules)}
+    paths, found, _ = scan_ledger(docs, ledger, found, rules)
+    found = found.withColumn("rank", F.create_map(*(F.lit(x) for item in rank.items() for x in item))[F.col("kind")])
     kinds = [r.kind for r in rules if r.base]
 
     def joined(spans: Column) -> Column:

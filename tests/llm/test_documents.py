@@ -468,6 +468,30 @@ def test_secret_scan(spark, empty):
     assert ledger2.count() == len({t or "" for t in texts}) * len(RULES)
 
 
+def test_secret_ledger_scans_unseen_pairs_only(spark, monkeypatch):
+    """A new version of one rule scans that rule alone, and replaces what its old version found."""
+    from dataclasses import replace
+
+    from liftloom.llm import secret_scan as S
+
+    rows = [(1, "token = abcdefghijkl deadbeefdeadbeef"), (2, "deadbeefdeadbeef"), (3, "AKIA" + "Z" * 14), (4, "nothing")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = []
+    whole = S.scan
+    monkeypatch.setattr(S, "scan", lambda texts, rules: asked.append([(r.text[:4], sorted(r.todo)) for r in texts.collect()]) or whole(texts, rules))
+    _, found, ledger = S.scan_ledger(df)
+    new = tuple(replace(r, version=2, pattern="[0-9a-f]{16}", least=16) if r.kind == "hex" else r for r in S.RULES)
+    _, after, ledger2 = S.scan_ledger(df.unionByName(spark.createDataFrame([(5, "api_key=0123456789abcdef0123")], "doc_id long, text string")), ledger, found, new)
+    every = sorted(r.kind for r in S.RULES)
+    assert sorted(asked[0]) == [("AKIA", every), ("dead", every), ("toke", every)]
+    assert sorted(asked[1]) == [("AKIA", ["hex"]), ("api_", every), ("dead", ["hex"]), ("toke", ["hex"])]
+    assert ledger2.count() == 5 * len(S.RULES) + 4  # the old versions of four blobs stay on record
+    _, full, _ = S.scan_ledger(df.unionByName(spark.createDataFrame([(5, "api_key=0123456789abcdef0123")], "doc_id long, text string")), rules=new)
+    assert Counter(map(tuple, after.collect())) == Counter(map(tuple, full.collect()))
+    S.scan_ledger(df, ledger2, after, new)
+    assert asked[-1] == []
+
+
 def test_license_scan(spark, docs, empty):
     from liftloom.llm.license_scan import TEMPLATES, align, license_scan, winnow
 
