@@ -15,7 +15,7 @@ from .plans.lineage import cut
 from .sources.tables import result_frame
 
 
-class UpliftForecast:
+class ModelSuite:
     """Fits learners on one frame; ``predict`` adds ``uplift_<name>`` columns (with ``components`` also ``<name>_y0_pred``, ``<name>_y1_pred``)."""
 
     def __init__(self, models: list):
@@ -26,7 +26,7 @@ class UpliftForecast:
             raise ValueError(f"models need different names: {names}")
         self.models, self.names, self.fitted = models, names, None
 
-    def fit(self, frame: CausalFrame) -> UpliftForecast:
+    def fit(self, frame: CausalFrame) -> ModelSuite:
         frame.validated()
         self.fitted = [m.fit(frame) for m in self.models]
         return self
@@ -45,7 +45,7 @@ class UpliftForecast:
         save((self.names, self.fitted), path)
 
     @classmethod
-    def load(cls, spark, path: str) -> UpliftForecast:
+    def load(cls, spark, path: str) -> ModelSuite:
         out = cls.__new__(cls)
         out.names, out.fitted = load(spark, path)
         out.models = []

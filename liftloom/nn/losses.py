@@ -7,7 +7,7 @@ into an outcome.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -104,19 +104,20 @@ def _mean(logits: Tensor) -> Tensor:
 
 
 def within_group_rank(pred: Tensor, y: np.ndarray) -> Tensor:
-    """Squared differences of predictions of pairs that they order against the outcomes."""
-    gap = pred - pred.T
-    wrong = ((gap.data * (y - y.T)) < 0).astype(float)
-    return (T.square(gap) * wrong).sum() * (1.0 / max(1, len(y) ** 2))
+    """Mean over all pairs of the squared gap between differences of predictions and of outcomes, where their signs contradict."""
+    if not len(y):
+        return Tensor(0.0)
+    gap, truth = pred - pred.T, y - y.T
+    return (T.square(gap - truth) * (gap.data * truth < 0).astype(float)).mean()
 
 
-def cross_group_rank(uplift_t: Tensor, uplift_c: Tensor, y_t: np.ndarray, y_c: np.ndarray) -> Tensor:
-    """Squared gap between differences of effects and sums of outcomes over pairs of a treated and a control row."""
+def cross_group_rank(pred_t: Tensor, pred_c: Tensor, y_t: np.ndarray, y_c: np.ndarray) -> Tensor:
+    """The same over pairs of a treated and a control row, seen from both arms: predicted against observed of the other arm."""
     if not len(y_t) or not len(y_c):
         return Tensor(0.0)
-    forward = T.square((uplift_t - uplift_c.T) - (y_t + y_c.T))
-    backward = T.square((uplift_c - uplift_t.T) + (y_c + y_t.T))
-    return forward.mean() + backward.mean()
+    gap = (pred_t - y_c.T) + (pred_c.T - y_t)
+    wrong = ((pred_t.data - y_c.T) * (y_t - pred_c.data.T) < 0).astype(float)
+    return (T.square(gap) * wrong).mean() * 2.0  # both arms give the same pairs with roles changed
 
 
 def listwise_uplift_rank(uplift: Tensor, t: np.ndarray, y: np.ndarray) -> Tensor:
@@ -126,6 +127,13 @@ def listwise_uplift_rank(uplift: Tensor, t: np.ndarray, y: np.ndarray) -> Tensor
     return -(weight * (t * y)).sum() * (1 / n1) + (weight * ((1 - t) * y)).sum() * (1 / n0)
 
 
+def targeted(m0: Tensor, m1: Tensor, t: np.ndarray, y: np.ndarray, logit: Tensor, epsilon: Tensor) -> Tensor:
+    """Targeted regularisation: outcomes perturbed along the clever covariate of the propensity."""
+    e = (T.sigmoid(logit) + 0.01) / 1.02
+    h = t / e - (1 - t) / (1 - e)
+    return T.square(chosen(m0, m1, t) + epsilon * h - y).mean()
+
+
 @dataclass
 class DragonNetLoss(Loss):
     """Zero-inflated lognormal outcomes with rankings, propensity cross-entropy and targeted regularisation."""
@@ -149,15 +157,16 @@ class DragonNetLoss(Loss):
         if logit is not None:
             loss = loss + T.bce(logit, t).mean() * self.alpha
             if self.beta and epsilon is not None:
-                e = (T.sigmoid(logit) + 0.01) / 1.02
-                h = t / e - (1 - t) / (1 - e)
-                loss = loss + T.square(chosen(m0, m1, t) + epsilon * h - y).mean() * self.beta
+                loss = loss + targeted(m0, m1, t, y, logit, epsilon) * self.beta
         return loss
 
 
 @dataclass
 class RERUMLoss(DragonNetLoss):
-    """Zero-inflated lognormal outcomes with response and listwise uplift rankings."""
+    """Zero-inflated lognormal outcomes with response and listwise uplift rankings.
+
+    The pairwise terms take all rows of a batch's arm, or ``ranking_sample_size`` drawn ones; the listwise term takes all.
+    """
 
     within_ranking_weight: float = 1e-4
     cross_ranking_weight: float = 0.0
@@ -165,21 +174,26 @@ class RERUMLoss(DragonNetLoss):
     ranking_sample_size: int | None = None
     imbalance: str | None = None
     p_alpha: float = 0.0
+    draws: np.random.Generator = field(default_factory=lambda: np.random.default_rng(0), repr=False, compare=False)
+
+    def drawn(self, rows: np.ndarray) -> np.ndarray:
+        if self.ranking_sample_size is None or len(rows) <= self.ranking_sample_size:
+            return rows
+        return self.draws.permutation(rows)[: self.ranking_sample_size]
 
     def __call__(self, y0, y1, t, y, logit=None, epsilon=None, rep=None, **extra):
         loss = ziln(y, y1, t) + ziln(y, y0, 1 - t)
         m1, m0 = _mean(y1), _mean(y0)
-        at = slice(None) if self.ranking_sample_size is None else slice(0, self.ranking_sample_size)
-        u, tt, yy, p = (m1 - m0)[at], t[at], y[at], chosen(m0, m1, t)[at]
-        treated, control = np.flatnonzero(tt[:, 0] == 1), np.flatnonzero(tt[:, 0] == 0)
-        for side in (treated, control):
-            if self.within_ranking_weight and len(side):
-                loss = loss + within_group_rank(p[side], yy[side]) * self.within_ranking_weight
+        treated, control = (self.drawn(np.flatnonzero(t[:, 0] == a)) for a in (1, 0))
+        if self.within_ranking_weight:
+            loss = loss + (within_group_rank(m1[treated], y[treated]) + within_group_rank(m0[control], y[control])) * self.within_ranking_weight
         if self.cross_ranking_weight:
-            loss = loss + cross_group_rank(u[treated], u[control], yy[treated], yy[control]) * self.cross_ranking_weight
-        loss = loss + listwise_uplift_rank(u, tt, yy) * self.listwise_ranking_weight
+            loss = loss + cross_group_rank(m1[treated], m0[control], y[treated], y[control]) * self.cross_ranking_weight
+        loss = loss + listwise_uplift_rank(m1 - m0, t, y) * self.listwise_ranking_weight
         if logit is not None:
             loss = loss + T.bce(logit, t).mean() * self.alpha
+            if self.beta and epsilon is not None:
+                loss = loss + targeted(m0, m1, t, y, logit, epsilon) * self.beta
         if self.imbalance and self.p_alpha and rep is not None:
             loss = loss + compute_imbalance(rep, t, self.imbalance) * self.p_alpha
         return loss
@@ -246,6 +260,9 @@ def compute_imbalance(rep: Tensor, t: np.ndarray, kind: str = "mmd2_lin", e: np.
     return lindisc(rep, e, t)
 
 
+SMOOTH = 0.01  # where smooth_l1 turns from squares to absolute values
+
+
 @dataclass
 class CFRLoss(Loss):
     """Weighted factual loss plus an imbalance penalty on the representation."""
@@ -271,8 +288,8 @@ class CFRLoss(Loss):
         elif self.loss_type == "log":
             each = T.bce(p, y)
         elif self.loss_type == "smooth_l1":
-            small = (np.abs(gap.data) < 1).astype(float)
-            each = T.square(gap) * 0.5 * small + (T.absolute(gap) - 0.5) * (1 - small)
+            small = (np.abs(gap.data) < SMOOTH).astype(float)
+            each = T.square(gap) * (0.5 / SMOOTH) * small + (T.absolute(gap) - 0.5 * SMOOTH) * (1 - small)
         else:
             raise ValueError(f"unknown loss_type {self.loss_type!r}")
         loss = (each * w).mean()

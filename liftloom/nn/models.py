@@ -104,18 +104,24 @@ class TARNet(Net):
             self.head(p, rng, f"head{a}", self.hidden_size)
         return p
 
-    def represent(self, p, x):
+    def represent(self, p, x, training):
         return self.run(p, "rep", x)
 
     def forward(self, p, x, t=None):
-        rep = self.represent(p, x)
+        rep = self.represent(p, x, t is not None)
         heads = [self.run(p, f"head{a}", rep, False) for a in self.arms]
         return {"y": heads if self.n_treatments == 2 else additive(heads[0], heads[1:]), "rep": rep}
 
 
+MOMENTUM = 0.1  # share of a batch in the running statistics of batch normalisation
+
+
 @dataclass
 class CFRNet(TARNet):
-    """TARNet with balanced representations; optional feature weights, normalisation and a joint head."""
+    """TARNet with balanced representations; optional feature weights, normalisation and a joint head.
+
+    Batch normalisation uses the batch in training and the running statistics at prediction.
+    """
 
     varsel: bool = False
     split_output: bool = True
@@ -131,12 +137,28 @@ class CFRNet(TARNet):
             p["select"] = np.full((1, self.input_size), 1.0 / self.input_size)
         if not self.split_output:
             self.head(p, rng, "joint", self.hidden_size + 1)
+        if self.normed:
+            p |= {"norm.mean": np.zeros((1, self.hidden_size)), "norm.var": np.ones((1, self.hidden_size))}
         return p
 
-    def represent(self, p, x):
+    @property
+    def normed(self) -> bool:
+        return self.batch_norm or self.normalization in ("bn", "bn_fixed")
+
+    def represent(self, p, x, training):
         rep = self.run(p, "rep", x * p["select"] if self.varsel else x)
-        if self.batch_norm or self.normalization in ("bn", "bn_fixed"):
-            rep = (rep - rep.mean(0, True)) / T.safe_sqrt(T.square(rep - rep.mean(0, True)).mean(0, True) + 1e-3)
+        if self.normed:
+            mean, spread = p["norm.mean"].data, p["norm.var"].data
+            if training and rep.shape[0] > 1:
+                centred = rep - rep.mean(0, True)
+                square = T.square(centred).mean(0, True)
+                n = rep.shape[0]
+                # kept with the weights, in place, and averaged like them
+                mean += MOMENTUM * (rep.data.mean(0, keepdims=True) - mean)
+                spread += MOMENTUM * (square.data * n / (n - 1) - spread)
+                rep = centred / T.safe_sqrt(square + 1e-5)
+            else:
+                rep = (rep - mean) / np.sqrt(spread + 1e-5)
         if self.normalization == "divide":
             rep = rep / T.safe_sqrt(T.square(rep).sum(1, True))
         elif self.normalization not in ("none", "bn", "bn_fixed"):
@@ -147,7 +169,7 @@ class CFRNet(TARNet):
         if self.split_output or self.n_treatments > 2:
             out = super().forward(p, x, t)
         else:
-            rep = self.represent(p, x)
+            rep = self.represent(p, x, t is not None)
             one = np.ones((x.shape[0], 1))
             out = {"y": [self.run(p, "joint", T.concat([rep, one * a]), False) for a in (0, 1)], "rep": rep}
         if self.n_treatments > 2 and t is not None and self.loss.p_alpha:

@@ -137,10 +137,8 @@ def top_mask(df: DataFrame, score: str, k: int, row_id: str = "row_id", out: str
     """``df`` with 1 for the ``k`` largest scores; of equal scores the larger row ids come first."""
     if k <= 0:
         return df.withColumn(out, F.lit(0))
-    limit = df.select(F.col(score).alias("_s"), F.col(row_id).alias("_r")).orderBy(F.col("_s").desc(), F.col("_r").desc()).limit(k)
-    edge = limit.orderBy(F.col("_s").asc(), F.col("_r").asc()).limit(1)
-    inside = (F.col(score) > F.col("_s")) | ((F.col(score) == F.col("_s")) & (F.col(row_id) >= F.col("_r")))
-    return df.crossJoin(F.broadcast(edge)).withColumn(out, inside.cast("int")).drop("_s", "_r")
+    ranked = running(df, [F.col(score).desc_nulls_last(), F.col(row_id).desc()], {"_rank": ("sum", F.lit(1))})
+    return ranked.withColumn(out, (F.col("_rank") <= k).cast("int")).drop("_rank")
 
 
 def budget_size(n: int, budget: float | None = None, top_k: int | None = None) -> int:

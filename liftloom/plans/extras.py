@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import explain
-from ..forecast import UpliftForecast, compare_models
+from ..forecast import ModelSuite, compare_models
 from ..frame import CausalFrame
 from ..functions import causal as C
 from ..learners.base import OLS, Propensity, RidgeBase
@@ -37,7 +37,7 @@ def query(sql: str | None = None, name: str | None = None):
 @query(f"WITH {PAIRS_BIN}, {BOTH}, {POINTS.format(src='o', by='arm, best')}, {AREAS}, {SCORES} SELECT 'T' AS model, CAST(arm AS INT) AS arm, round(auuc, 6) + 0e0 AS auuc, round(qini, 6) + 0e0 AS qini FROM r")
 def model_comparison(spark, sf):
     frame = CausalFrame(views.binary(spark, sf), ("x0",))
-    scored = UpliftForecast([TLearner(model=OLS(), name="T")]).fit(frame).predict(frame.df).withColumn("uplift_T", F.round("uplift_T", 9))
+    scored = ModelSuite([TLearner(model=OLS(), name="T")]).fit(frame).predict(frame.df).withColumn("uplift_T", F.round("uplift_T", 9))
     return compare_models(scored, ["T"], ("auuc", "qini")).select("model", F.col("arm").cast("int"), rounded("auuc").alias("auuc"), rounded("qini").alias("qini"))
 
 
@@ -77,7 +77,7 @@ def policy_learner(spark, sf):
 def forecast_columns(spark, sf):
     frame = CausalFrame(views.multi(spark, sf), ("x0", "x1"))
     models = [TLearner(model=OLS(), name="T"), SLearner(model=OLS(), name="S"), ZLearner(effect_model=OLS(), name="Z")]
-    return UpliftForecast(models).fit(frame).predict(frame.df, components=True).select("row_id", "uplift_T", "uplift_S", "uplift_Z", "T_y0_pred", "T_y1_pred")
+    return ModelSuite(models).fit(frame).predict(frame.df, components=True).select("row_id", "uplift_T", "uplift_S", "uplift_Z", "T_y0_pred", "T_y1_pred")
 
 
 @query()

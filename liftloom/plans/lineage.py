@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the folder in ``spark.checkpoint.dir`` (one under /tmp where unset)."""
+    """``df`` computed once and written to the folder in ``spark.checkpoint.dir``; where that is unset, a local master gets one of its own and a cluster is refused."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/liftloom")
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "liftloom-checkpoints"))
     return df.checkpoint(eager=True)

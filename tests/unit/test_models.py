@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from liftloom import explain
-from liftloom.forecast import UpliftForecast, compare_models
+from liftloom.forecast import ModelSuite, compare_models
 from liftloom.frame import CausalFrame
 from liftloom.learners.base import OLS, Propensity, StrataMean, gbt, logit
 from liftloom.learners.meta import DRLearner, PolicyLearner, RLearner, SLearner, SurvivalUplift, TLearner, XLearner, ZLearner
@@ -264,7 +264,49 @@ def test_losses():
     nll[1] += (np.log(2) - 0.4) ** 2 / 2 / scale[1] ** 2 + np.log(scale[1]) + np.log(2) + 0.5 * np.log(2 * np.pi)
     assert losses.ziln(y, Tensor(logits)).data == pytest.approx(nll.mean())
     assert losses.zero_inflated_lognormal_pred(logits)[1] == pytest.approx(1 / (1 + np.exp(-1)) * np.exp(0.4 + scale[1] ** 2 / 2))
-    assert losses.cross_group_rank(Tensor([[1.0]]), Tensor([[-1.0]]), np.array([[4.0]]), np.array([[6.0]])).data == pytest.approx((2 - 10) ** 2 + (-2 + 10) ** 2)
+    one = np.array([[1.0]])
+    assert losses.cross_group_rank(Tensor([[5.0]]), Tensor([[5.0]]), one, one).data == 128
+    assert losses.cross_group_rank(Tensor([[3.0]]), Tensor([[0.0]]), np.array([[2.0]]), one).data == 0
+    assert losses.cross_group_rank(Tensor(np.zeros((0, 1))), Tensor(one), np.zeros((0, 1)), one).data == 0
+    # of the pairs (2, 1) and (1, 2) each is ordered against the outcomes: gaps 1 - (-3) and back, over four pairs
+    assert losses.within_group_rank(Tensor([[2.0], [1.0]]), np.array([[0.0], [3.0]])).data == pytest.approx(2 * 16 / 4)
+    assert losses.within_group_rank(Tensor([[1.0], [2.0]]), np.array([[0.0], [3.0]])).data == 0
+    small, large = losses.CFRLoss("smooth_l1")(Tensor([[0.004]]), Tensor([[0.0]]), np.zeros((1, 1)), np.zeros((1, 1))), losses.CFRLoss("smooth_l1")(Tensor([[2.0]]), Tensor([[0.0]]), np.zeros((1, 1)), np.zeros((1, 1)))
+    assert small.data == pytest.approx(0.5 * 0.004**2 / 0.01) and large.data == pytest.approx(2 - 0.005)
+    # drawn rows come from each arm, and only the pairwise terms are thinned
+    rng = np.random.default_rng(2)
+    y8, t8 = rng.random((8, 1)), np.array([[1.0], [0.0]] * 4)
+    heads = Tensor(rng.normal(size=(8, 3))), Tensor(rng.normal(size=(8, 3)))
+    sampled = losses.RERUMLoss(ranking_sample_size=2, cross_ranking_weight=1.0)
+    drawn = [sampled.drawn(np.flatnonzero(t8[:, 0] == 1)).tolist() for _ in range(20)]
+    assert all(len(d) == 2 for d in drawn) and len({i for d in drawn for i in d}) == 4
+    assert losses.RERUMLoss(ranking_sample_size=1, within_ranking_weight=0.0)(*heads, t8, y8).data == pytest.approx(losses.RERUMLoss(within_ranking_weight=0.0)(*heads, t8, y8).data)
+    tilted = losses.RERUMLoss(beta=1.0)(*heads, t8, y8, logit=Tensor(np.zeros((8, 1))), epsilon=Tensor(np.ones((8, 1))))
+    assert tilted.data > losses.RERUMLoss(beta=0.0)(*heads, t8, y8, logit=Tensor(np.zeros((8, 1))), epsilon=Tensor(np.ones((8, 1)))).data
+
+
+def test_batch_norm_predicts_from_running_statistics():
+    from liftloom.nn import models
+    from liftloom.nn.train import Adam, steps
+
+    rng = np.random.default_rng(0)
+    x, t = rng.normal(2, 3, (400, 3)), rng.integers(0, 2, (400, 1)).astype(float)
+    net = models.CFRNet(3, hidden_size=6, batch_norm=True)
+    p = net.init(rng)
+    before = {k: v.copy() for k, v in p.items()}
+    for _ in range(5):
+        steps(net, p, Adam(), x, t, x[:, :1] + t, 50, rng)
+    assert not np.allclose(p["norm.mean"], before["norm.mean"])
+    whole = net.outcomes(p, x)
+    assert np.allclose(net.outcomes(p, x[:1]), whole[:1]) and np.ptp(whole) > 0
+
+
+def test_imbalance_and_factual_losses_are_finite():
+    from liftloom.nn import losses
+    from liftloom.nn.tape import Tensor
+
+    half = np.repeat([[1.0], [0.0]], 20, axis=0)
+    y = np.array([[0.0], [2.0]])
     for loss_type in ("mse", "l1", "log", "smooth_l1"):
         assert np.isfinite(losses.CFRLoss(loss_type, reweight_sample=True, p_lambda=0.1)(Tensor(y), Tensor(y), half[:2], np.array([[0.0], [1.0]]), weights=[Tensor(y)]).data)
     assert np.isfinite(losses.PseudoPEHE()(Tensor(y), Tensor(y), np.array([[0.0], [1.0]]), y).data)
@@ -293,11 +335,11 @@ def test_neural_models_learn(spark):
 
 
 def test_forecast_comparison_and_files(spark, frame, tmp_path):
-    both = UpliftForecast([TLearner(model=OLS(), name="T"), SLearner(model=gbt(maxIter=3), name="S"), TLearner(model=StrataMean(("t",)), name="strata")]).fit(frame)
+    both = ModelSuite([TLearner(model=OLS(), name="T"), SLearner(model=gbt(maxIter=3), name="S"), TLearner(model=StrataMean(("t",)), name="strata")]).fit(frame)
     done = both.predict(frame.df, components=True)
     assert {"uplift_T", "S_y0_pred", "T_y1_pred"} <= set(done.columns)
     both.save(str(tmp_path / "model"))
-    again = UpliftForecast.load(spark, str(tmp_path / "model")).predict(frame.df)
+    again = ModelSuite.load(spark, str(tmp_path / "model")).predict(frame.df)
     a, b = (x.orderBy("row_id").select("uplift_T", "uplift_S", "uplift_strata").limit(20).collect() for x in (done, again))
     assert a == b
     board = {r.model: r for r in compare_models(done, ["T", "S"]).collect()}
@@ -306,11 +348,11 @@ def test_forecast_comparison_and_files(spark, frame, tmp_path):
     with pytest.raises(ValueError):
         compare_models(done, ["T"], ("f1",))
     with pytest.raises(ValueError):
-        UpliftForecast([TLearner(model=OLS()), TLearner(model=OLS())])
+        ModelSuite([TLearner(model=OLS()), TLearner(model=OLS())])
     with pytest.raises(TypeError):
-        UpliftForecast([3])
+        ModelSuite([3])
     with pytest.raises(RuntimeError):
-        UpliftForecast([TLearner(model=OLS())]).predict(frame.df)
+        ModelSuite([TLearner(model=OLS())]).predict(frame.df)
     write_table(frame.df.limit(5), str(tmp_path / "t.parquet"))
     assert read_table(spark, str(tmp_path / "t.parquet")).count() == 5
     with pytest.raises(ValueError):
