@@ -85,7 +85,8 @@ def scan_ledger(docs: DataFrame, ledger: DataFrame | None = None, findings: Data
     """
     spark = docs.sparkSession
     named = blobs(docs)
-    known = spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")
+    pairs = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules))
+    known = spark.range(1).select(F.inline(pairs))
     every = F.array(*(F.lit(r.kind) for r in rules))
     # Equal keys are combined before the shuffle, so a blob that many paths share moves once per task.
     todo = named.select("blob").distinct().withColumn("todo", every)
