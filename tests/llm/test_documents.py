@@ -146,6 +146,29 @@ def test_jaccard_join(docs, empty):
     assert {r.doc_id for r in keep_one(docs).where("doc_id is not null").collect()} == set(want.values())
 
 
+def test_jaccard_join_sends_no_pairs_of_a_shared_template(spark, monkeypatch):
+    """Pages of one template of 30 words and 10 own ones (similarity 0.57), and a few near copies: what is sent at most doubles with the pages."""
+    from liftloom.llm import jaccard_join
+
+    whole, sent = jaccard_join.region_members, []
+
+    def counted(posted, blocks):
+        out = whole(posted, blocks)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "region_members", counted)
+    template = [f"t{i}" for i in range(30)]
+    for n in (600, 1200):
+        rows = [(i, " ".join(template + [f"own{i}x{k}" for k in range(10)])) for i in range(n)]
+        rows += [(n + i, rows[i][1] + " more") for i in range(0, n, 20)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df).collect()}
+        assert got == {i: i if i < n else i - n for i, _ in rows}
+        assert sent[-1] <= 2 * n / 20
+    assert sent[1] <= 2 * sent[0] + 1
+
+
 def test_jaccard_join_of_large_groups(spark, monkeypatch):
     """Chains of near copies in regions of many chunks."""
     from liftloom.llm import jaccard_join
