@@ -17,7 +17,7 @@ from ..functions.causal import aipw_outcome, imputed_effect, relative_propensity
 from ..operators.curves import budget_size, optimal_treatment_assignment, top_mask
 from ..operators.survival import ipcw_survival_pseudo_outcome
 from ..plans.lineage import cut
-from .base import Base, Propensity, hash_fold
+from .base import ML, Base, FittedML, Multinomial, Propensity, hash_fold, logit
 
 
 @dataclass
@@ -258,10 +258,30 @@ class ZLearner(Learner):
         return PerArm(arms, self.display_name, models)
 
 
+@dataclass
+class Chooser:
+    """The arm that a classifier, or the first of the largest of one model per arm, gives each row."""
+
+    arms: list[int]
+    classifier: object = None
+    models: list = field(default_factory=list)
+
+    def predict(self, df: DataFrame, out: str) -> DataFrame:
+        if self.classifier is not None:
+            df = self.classifier.predict(df, "_scores")
+        else:
+            names = [f"_p{a}" for a in self.arms]
+            for name, model in zip(names, self.models, strict=True):
+                df = model.predict(df, name)
+            df = df.withColumn("_scores", F.array(*names)).drop(*names)
+        at = F.array_position("_scores", F.array_max("_scores")).cast("int")
+        return df.withColumn(out, F.element_at(F.array(*(F.lit(a) for a in self.arms)), at)).drop("_scores")
+
+
 @dataclass
 class FittedPolicy(FittedUplift):
     cate: FittedUplift | None = None
-    policy: dict[int, object] = field(default_factory=dict)
+    policy: object = None
     threshold: float = 0.0
     propensity: object = None
     row_id: str = "row_id"
@@ -284,17 +304,23 @@ class FittedPolicy(FittedUplift):
                 return top_mask(scored, "uplift", k, self.row_id, out)
             best = optimal_treatment_assignment(scored.withColumn("_best", F.array_max("uplift")), "uplift", 0.0, "_arm")
             return top_mask(best, "_best", k, self.row_id, "_in").withColumn(out, F.when(F.col("_in") == 1, F.col("_arm")).otherwise(0)).drop("_best", "_arm", "_in")
+        if threshold is None and self.policy is not None:
+            if several:
+                return self.policy.predict(scored, out)
+            return self.policy.predict(scored, "_p").withColumn(out, (F.col("_p") > 0.5).cast("int")).drop("_p")
         if several:
             return optimal_treatment_assignment(scored, "uplift", 0.0, out)
-        if threshold is not None or not self.policy:
-            limit = self.threshold if threshold is None else threshold
-            return scored.withColumn(out, (F.col("uplift") > limit).cast("int"))
-        return self.policy[1].predict(scored, "_p").withColumn(out, (F.col("_p") > 0.5).cast("int")).drop("_p")
+        limit = self.threshold if threshold is None else threshold
+        return scored.withColumn(out, (F.col("uplift") > limit).cast("int"))
 
 
 @dataclass
 class PolicyLearner(Learner):
-    """A classifier of who to treat, weighed by the size of the estimated effect."""
+    """A classifier of who to treat, or of the best arm, weighed by the size of the estimated effect.
+
+    With several arms a row weighs by its best effect, so rows that no arm helps weigh nothing; ``assign`` with a
+    threshold asks for the rule on the effects instead.  Where all rows get one label that rule decides, too.
+    """
 
     cate: Learner | None = None
     policy_model: Base | None = None
@@ -304,15 +330,22 @@ class PolicyLearner(Learner):
     def fit(self, frame):
         arms, features = frame.arms(), list(frame.features)
         cate = self.cate.fit(frame)
-        policy = {}
+        rows = cate.predict(frame.df)
         if len(arms) == 2:
-            rows = cate.predict(frame.df).withColumn("_label", (F.col("uplift") > self.threshold).cast("double")).withColumn("_w", F.abs("uplift"))
-            if rows.select("_label").distinct().count() == 2:
-                if self.policy_model is None:
-                    from .base import logit
-
-                    self.policy_model = logit()
-                policy[1] = self.policy_model.fit(rows, features, "_label", "_w")
+            rows = rows.withColumn("_label", (F.col("uplift") > self.threshold).cast("double")).withColumn("_w", F.abs("uplift"))
+        else:
+            best = F.greatest(F.array_max("uplift"), F.lit(0.0))
+            rows = optimal_treatment_assignment(rows, "uplift", 0.0, "_label").withColumn("_label", F.col("_label").cast("double")).withColumn("_w", best)
+        # as many labels as arms at most
+        labels = sorted(int(r[0]) for r in rows.select("_label").distinct().collect())
+        policy, base = None, self.policy_model or logit()
+        if len(labels) > 1:
+            policy = base.fit(rows, features, "_label", "_w") if len(arms) == 2 or isinstance(base, ML) else None
+            if len(arms) > 2:
+                if isinstance(policy, FittedML) and policy.classifier:
+                    policy = Chooser(arms, Multinomial(policy.model, features, arms, 0.0))
+                else:
+                    policy = Chooser(labels, None, [base.fit(rows.withColumn("_is", (F.col("_label") == a).cast("double")), features, "_is", "_w") for a in labels])
         return FittedPolicy(arms, self.display_name, cate, policy, self.threshold, self.propensity.fit(frame.df, features, arms, frame.treatment), frame.row_id)
 
 

@@ -229,35 +229,54 @@ def mmd2_rbf(rep: Tensor, t: np.ndarray, e: np.ndarray | None = None, sigma: flo
     return (kernel(a, a) * (wa @ wa.T)).sum() + (kernel(b, b) * (wb @ wb.T)).sum() - (kernel(a, b) * (wa @ wb.T)).sum() * 2.0
 
 
-def wasserstein(rep: Tensor, t: np.ndarray, e: np.ndarray | None = None, lam: float = 10.0, its: int = 10, sq: bool = False) -> Tensor:
-    """Entropic optimal transport between the arms; the plan is held fixed in the gradient."""
-    a, b, wa, wb = _groups(rep, t, e)
-    if not a.shape[0] or not b.shape[0]:
-        return Tensor(0.0)
+def wasserstein(rep: Tensor, t: np.ndarray, lam: float = 10.0, its: int = 50, sq: bool = False) -> tuple[Tensor, Tensor]:
+    """Entropic optimal transport between the arms from uniform weights: the distance and the plan [treated, control]."""
+    a, b, *_ = _groups(rep, t, None)
+    n1, n0 = a.shape[0], b.shape[0]
+    if not n1 or not n0:
+        return Tensor(0.0), Tensor(0.0)
     cost = T.clip(_distances2(a, b), 0.0, np.inf)
     cost = cost if sq else T.safe_sqrt(cost)
-    k = np.exp(-cost.data / lam)
-    u = np.ones_like(wa)
+    kernel = T.exp(cost * (-1 / lam))
+    rows, columns = Tensor(np.full((n1, 1), 1 / n1)), Tensor(np.full((n0, 1), 1 / n0))
     for _ in range(max(1, its)):
-        v = wb / np.maximum(k.T @ u, 1e-12)
-        u = wa / np.maximum(k @ v, 1e-12)
-    return (cost * (u * k * v.T)).sum()
+        rows = rows / (kernel @ columns + 1e-9)
+        columns = columns / (kernel.T @ rows + 1e-9)
+    plan = rows * kernel * columns.T
+    return (cost * plan).sum(), plan
+
+
+@dataclass
+class Imbalance:
+    """What ``imbalance`` found: the term for a loss, the distance, and the plan of a Wasserstein kind."""
+
+    loss: Tensor
+    distance: Tensor
+    plan: Tensor | None = None
+
 
+def imbalance(rep: Tensor, t: np.ndarray, kind: str = "mmd2_lin", e: np.ndarray | None = None, sigma: float = 0.1, lam: float = 10.0, its: int = 50, r_alpha: float = 1.0, through_plan: bool = False) -> Imbalance:
+    """Distance of the arms' representations, times ``r_alpha``; without ``through_plan`` the plan is handed out without its gradient.
 
-def compute_imbalance(rep: Tensor, t: np.ndarray, kind: str = "mmd2_lin", e: np.ndarray | None = None, sigma: float = 0.1, lam: float = 10.0, its: int = 10) -> Tensor:
+    Kinds: mmd2_rbf, mmd_rbf, mmd2_lin, mmd_lin, wass, wass2; any other is the linear discrepancy.
+    """
     if not (t == 1).any() or not (t == 0).any():
-        return Tensor(0.0)
-    if kind == "mmd2_rbf":
-        return mmd2_rbf(rep, t, e, sigma)
-    if kind == "mmd_rbf":
-        return T.safe_sqrt(mmd2_rbf(rep, t, e, sigma))
-    if kind == "mmd2_lin":
-        return mmd2_lin(rep, t, e)
-    if kind == "mmd_lin":
-        return T.safe_sqrt(mmd2_lin(rep, t, e))
+        return Imbalance(Tensor(0.0), Tensor(0.0))
     if kind in ("wass", "wass2"):
-        return wasserstein(rep, t, e, lam, its, kind == "wass2")
-    return lindisc(rep, e, t)
+        distance, plan = wasserstein(rep, t, lam, its, kind == "wass2")
+        return Imbalance(distance * r_alpha, distance, plan if through_plan else Tensor(plan.data))
+    if kind in ("mmd2_rbf", "mmd_rbf"):
+        distance = mmd2_rbf(rep, t, e, sigma)
+        distance = T.absolute(distance) if kind == "mmd_rbf" else distance
+    else:
+        distance = mmd2_lin(rep, t, e) if kind in ("mmd2_lin", "mmd_lin") else lindisc(rep, e, t)
+    rooted = kind in ("mmd_rbf", "mmd_lin")
+    return Imbalance(T.safe_sqrt(distance * r_alpha**2) if rooted else distance * r_alpha, distance)
+
+
+def compute_imbalance(rep: Tensor, t: np.ndarray, kind: str = "mmd2_lin", e: np.ndarray | None = None, **options) -> Tensor:
+    """The loss term of ``imbalance`` alone."""
+    return imbalance(rep, t, kind, e, **options).loss
 
 
 SMOOTH = 0.01  # where smooth_l1 turns from squares to absolute values
@@ -265,18 +284,26 @@ SMOOTH = 0.01  # where smooth_l1 turns from squares to absolute values
 
 @dataclass
 class CFRLoss(Loss):
-    """Weighted factual loss plus an imbalance penalty on the representation."""
+    """Weighted factual loss plus an imbalance penalty on the representation and a penalty on squared weights.
+
+    ``use_p_correction``: the imbalance is weighed by the propensities, else by one half.  ``rep_weight_decay``: the
+    penalty on weights covers the representation (names that start with ``rep``) too, else the heads alone.
+    """
 
     loss_type: str = "mse"
     reweight_sample: bool = False
     p_alpha: float = 0.0
     p_lambda: float = 0.0
+    rep_weight_decay: bool = False
+    use_p_correction: bool = False
     imb_fun: str = "mmd2_lin"
+    r_alpha: float = 1.0
+    r_lambda: float = 1.0
     rbf_sigma: float = 0.1
     wass_lambda: float = 10.0
-    wass_iterations: int = 10
+    wass_iterations: int = 50
 
-    def __call__(self, y0, y1, t, y, rep=None, weights=(), propensity=None, **extra):
+    def __call__(self, y0, y1, t, y, rep=None, weights=(), rep_weights=(), propensity=None, **extra):
         p = chosen(y0, y1, t)
         e = np.clip(propensity if propensity is not None else np.full_like(t, t.mean()), 1e-3, 1 - 1e-3)
         w = t / (2 * e) + (1 - t) / (2 * (1 - e)) if self.reweight_sample else np.ones_like(t)
@@ -286,7 +313,8 @@ class CFRLoss(Loss):
         elif self.loss_type == "l1":
             each = T.absolute(gap)
         elif self.loss_type == "log":
-            each = T.bce(p, y)
+            q = T.clip(T.sigmoid(p), 0.0025, 0.9975)
+            each = -(T.log(q) * y + T.log(1 - q) * (1 - y))
         elif self.loss_type == "smooth_l1":
             small = (np.abs(gap.data) < SMOOTH).astype(float)
             each = T.square(gap) * (0.5 / SMOOTH) * small + (T.absolute(gap) - 0.5 * SMOOTH) * (1 - small)
@@ -294,8 +322,8 @@ class CFRLoss(Loss):
             raise ValueError(f"unknown loss_type {self.loss_type!r}")
         loss = (each * w).mean()
         if self.p_alpha and rep is not None:
-            loss = loss + compute_imbalance(rep, t, self.imb_fun, e if self.reweight_sample else None, self.rbf_sigma, self.wass_lambda, self.wass_iterations) * self.p_alpha
+            loss = loss + compute_imbalance(rep, t, self.imb_fun, e if self.use_p_correction else None, sigma=self.rbf_sigma, lam=self.wass_lambda, its=self.wass_iterations, r_alpha=self.r_alpha) * self.p_alpha
         if self.p_lambda:
-            for weight in weights:
-                loss = loss + T.square(weight).sum() * self.p_lambda
+            for weight in (*weights, *(rep_weights if self.rep_weight_decay else ())):
+                loss = loss + T.square(weight).sum() * (self.p_lambda * self.r_lambda)
         return loss

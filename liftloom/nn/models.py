@@ -77,7 +77,7 @@ class Net:
             own = sum(((t == a).astype(float) * h for a, h in enumerate(heads)), Tensor(np.zeros_like(y)))
             return T.square(own - y).mean() + out.get("penalty", Tensor(0.0))
         penalty = out.pop("penalty", None)
-        loss = self.loss(heads[0], heads[1], t, y, weights=[w for k, w in p.items() if ".w" in k], **out)
+        loss = self.loss(heads[0], heads[1], t, y, weights=[w for k, w in p.items() if ".w" in k and not k.startswith("rep")], rep_weights=[w for k, w in p.items() if ".w" in k and k.startswith("rep")], **out)
         return loss if penalty is None else loss + penalty
 
     def outcomes(self, p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:

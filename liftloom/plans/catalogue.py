@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, extras, modelling
+from . import evaluation, extras, modelling, terms
 
-MODULES = (evaluation, modelling, extras)
+MODULES = (evaluation, modelling, extras, terms)
 
 
 def queries() -> dict:

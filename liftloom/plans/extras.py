@@ -54,10 +54,20 @@ def permutation_importance(spark, sf):
     return explain.permutation_importance(TLearner(model=OLS()).fit(frame), frame, n_repeats=2)
 
 
-@query()
+def _planes(source: str, y: str = "y", by: str = "t") -> str:
+    """Intercept ``a`` and slopes ``b0`` and ``b1`` of a regression on x0 and x1, by group."""
+    sums = f"SELECT {by}, avg(x0) AS a0, avg(x1) AS a1, avg({y}) AS ay, var_pop(x0) AS v0, var_pop(x1) AS v1, covar_pop(x0, x1) AS c, covar_pop(x0, {y}) AS p0, covar_pop(x1, {y}) AS p1 FROM {source} GROUP BY {by}"
+    slopes = f"SELECT {by}, a0, a1, ay, (p0 * v1 - p1 * c) / (v0 * v1 - c * c) AS b0, (p1 * v0 - p0 * c) / (v0 * v1 - c * c) AS b1 FROM ({sums})"
+    return f"SELECT {by}, b0, b1, ay - b0 * a0 - b1 * a1 AS a FROM ({slopes})"
+
+
+# the effect is linear, so each feature's share is its slope times its distance from the mean
+@query(f"""WITH {views.BINARY}, m AS ({_planes("v_bin")}), d AS (SELECT k.a - c.a AS a, k.b0 - c.b0 AS b0, k.b1 - c.b1 AS b1, (SELECT avg(x0) FROM v_bin) AS x0, (SELECT avg(x1) FROM v_bin) AS x1 FROM m k JOIN m c ON k.t = 1 AND c.t = 0)
+SELECT v.row_id, round(d.b0 * (v.x0 - d.x0), 6) + 0e0 AS shap_x0, round(d.b1 * (v.x1 - d.x1), 6) + 0e0 AS shap_x1, round(d.a + d.b0 * d.x0 + d.b1 * d.x1, 6) + 0e0 AS base FROM v_bin v, d""")
 def shapley_values(spark, sf):
     frame = CausalFrame(views.binary(spark, sf), ("x0", "x1"))
-    return explain.uplift_shap_values(TLearner(model=OLS()).fit(frame), frame.df, ["x0", "x1"], n_samples=2)
+    found = explain.uplift_shap_values(TLearner(model=OLS()).fit(frame), frame.df, ["x0", "x1"], n_samples=2)
+    return found.select("row_id", rounded(F.element_at("shap", 1)).alias("shap_x0"), rounded(F.element_at("shap", 2)).alias("shap_x1"), rounded("base").alias("base"))
 
 
 @query()
@@ -73,11 +83,19 @@ def policy_learner(spark, sf):
     return PolicyLearner(cate=ZLearner(effect_model=OLS())).fit(frame).assign(frame.df).select("row_id", "uplift", "assigned")
 
 
-@query()
+# S: the slope on the arm's number is that of the outcome on what the features leave of it
+@query(f"""WITH {views.MULTI}, m AS ({_planes("v_multi")}), one AS (SELECT *, 0 AS k FROM v_multi), f AS ({_planes("one", "t", "k")}), q AS (SELECT one.y, one.t - (f.a + f.b0 * x0 + f.b1 * x1) AS res FROM one JOIN f ON TRUE), s AS (SELECT covar_pop(res, y) / var_pop(res) AS b FROM q),
+w AS (SELECT arm, v.*, CASE WHEN v.t = arm THEN 1e0 ELSE 0e0 END AS w FROM v_multi v JOIN (SELECT DISTINCT t AS arm FROM v_multi WHERE t > 0) ON v.t = 0 OR v.t = arm), r AS (SELECT arm, avg(w) AS e FROM w GROUP BY arm),
+z AS (SELECT w.arm, x0, x1, w * y / e - (1 - w) * y / (1 - e) AS z FROM w JOIN r ON r.arm = w.arm), h AS ({_planes("z", "z", "arm")})
+SELECT v.row_id, CAST(h.arm AS INT) AS arm, round((k.a + k.b0 * x0 + k.b1 * x1) - (c.a + c.b0 * x0 + c.b1 * x1), 6) + 0e0 AS uplift_T, round(s.b * h.arm, 6) + 0e0 AS uplift_S, round(h.a + h.b0 * x0 + h.b1 * x1, 6) + 0e0 AS uplift_Z,
+round(c.a + c.b0 * x0 + c.b1 * x1, 6) + 0e0 AS T_y0_pred, round(k.a + k.b0 * x0 + k.b1 * x1, 6) + 0e0 AS T_y1_pred FROM v_multi v JOIN h ON TRUE JOIN m k ON k.t = h.arm JOIN m c ON c.t = 0, s""")
 def forecast_columns(spark, sf):
     frame = CausalFrame(views.multi(spark, sf), ("x0", "x1"))
     models = [TLearner(model=OLS(), name="T"), SLearner(model=OLS(), name="S"), ZLearner(effect_model=OLS(), name="Z")]
-    return ModelSuite(models).fit(frame).predict(frame.df, components=True).select("row_id", "uplift_T", "uplift_S", "uplift_Z", "T_y0_pred", "T_y1_pred")
+    done = ModelSuite(models).fit(frame).predict(frame.df, components=True)
+    arms = F.posexplode(F.arrays_zip("uplift_T", "uplift_S", "uplift_Z", "T_y1_pred")).alias("arm", "of")
+    each = done.select("row_id", rounded("T_y0_pred").alias("T_y0_pred"), arms)
+    return each.select("row_id", (F.col("arm") + 1).cast("int").alias("arm"), "T_y0_pred", *(rounded(F.col(f"of.{c}")).alias(c) for c in ("uplift_T", "uplift_S", "uplift_Z", "T_y1_pred")))
 
 
 @query()

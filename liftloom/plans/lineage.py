@@ -5,15 +5,20 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a local master gets one of its own and a cluster is refused."""
+    shared, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not shared and context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return shared or os.path.join(tempfile.gettempdir(), "liftloom-checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the folder in ``spark.checkpoint.dir``; where that is unset, a local master gets one of its own and a cluster is refused."""
+    """``df`` computed once and written to the shared folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and context.master != "local" and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "liftloom-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -65,12 +65,13 @@ def radius_match(spark, sf):
     return _weights(m.NearestNeighborMatcher(XS, radius=0.01).transform(views.binary(spark, sf)))
 
 
-def _cosine(spark, sf):
-    df = views.binary(spark, sf)
-    return _weights(m.NearestNeighborMatcher(XS, n_neighbors=1, metric="cosine").transform(df))
+_COSINE = "1 - (a.x0 * b.x0 + a.x1 * b.x1) / (sqrt(a.x0 * a.x0 + a.x1 * a.x1) * sqrt(b.x0 * b.x0 + b.x1 * b.x1))"
+
 
+@query(f"WITH {views.BINARY}, {_PAIRS.format(_COSINE)} SELECT treated, round(min(d), 6) + 0e0 AS d FROM d GROUP BY treated")
+def knn_cosine(spark, sf):
+    return m.NearestNeighborMatcher(XS, n_neighbors=1, metric="cosine").edges(views.binary(spark, sf)).select("treated", rounded("d").alias("d"))
 
-query(name="knn_cosine")(_cosine)
 
 _KERNEL_SQL = {
     "gaussian": "exp(-(d / 0.05e0) * (d / 0.05e0) / 2)",
@@ -131,7 +132,9 @@ def embedding_match(spark, sf):
     return m.EmbeddingMatcher(vector="embedding").edges(views.vectors(spark, sf)).select("treated", rounded("d").alias("d"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {views.BINARY}, {_PAIRS.format(_EUCLID)}, c AS (SELECT treated, list(control ORDER BY d, control) AS near FROM d WHERE d <= 0.003 GROUP BY treated), o AS (SELECT *, row_number() OVER (ORDER BY treated) AS i FROM c),
+g(i, treated, control, used) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT i, treated, control, CASE WHEN control IS NULL THEN used ELSE list_append(used, control) END
+FROM (SELECT o.i, o.treated, list_filter(o.near, lambda x: NOT list_contains(g.used, x))[1] AS control, g.used FROM g JOIN o ON o.i = g.i + 1)), e AS (SELECT treated, control FROM g WHERE control IS NOT NULL) {_WEIGHTS.format("round(count(*) * 1e0, 6)")}""")
 def greedy_no_replacement(spark, sf):
     return _weights(m.NearestNeighborMatcher(XS, caliper=0.003, replace=False).transform(views.binary(spark, sf)))
 

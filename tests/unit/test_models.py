@@ -94,6 +94,22 @@ def test_policy_assignment(frame):
     assert list(band.importance())[0] == "x0"
 
 
+@pytest.mark.parametrize("base", [None, OLS()], ids=["logistic", "per arm"])
+def test_policy_model_of_several_arms(spark, base):
+    frame = known(spark, 900, arms=3)
+    fitted = PolicyLearner(cate=TLearner(model=OLS()), policy_model=base).fit(frame)
+    assert fitted.policy is not None
+    done = fitted.assign(frame.df).cache()
+    assert {r[0] for r in done.select("assigned").distinct().collect()} <= {0, 1, 2}
+    # arm 2 is best where x0 > 0; rows that no arm helps weigh nothing
+    right = done.where("x0 > 0").agg(F.avg((F.col("assigned") == 2).cast("double"))).first()[0]
+    assert right > 0.9
+    assert fitted.assign(frame.df, top_k=10).where("assigned > 0").count() <= 10
+    # a threshold asks for the rule on the effects
+    rule = fitted.assign(frame.df, threshold=0.0)
+    assert rule.agg(F.avg((F.col("assigned") == F.when(F.col("x0") > 0, 2).otherwise(0)).cast("double"))).first()[0] > 0.9
+
+
 def test_trees_draw_from_all_rows(spark):
     df = spark.range(24000).selectExpr("id as row_id", "cast(id % 2 as int) as t", "cast(id % 7 as double) as x0", "cast(id * id % 1009 as double) as y")
     fitted = CausalForest(n_estimators=2, max_depth=0, honest=False, bootstrap=False, pseudo_outcome="ipw").fit(CausalFrame(df, ("x0",)))
@@ -285,6 +301,44 @@ def test_losses():
     assert tilted.data > losses.RERUMLoss(beta=0.0)(*heads, t8, y8, logit=Tensor(np.zeros((8, 1))), epsilon=Tensor(np.ones((8, 1)))).data
 
 
+def test_transport_plan_and_scaled_imbalance():
+    rng = np.random.default_rng(3)
+    t = np.repeat([[1.0], [0.0]], [6, 9], axis=0)
+    rep = Tensor(rng.normal(size=(15, 2)) + t)
+    a, b = rep.data[:6], rep.data[6:]
+    cost = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
+    rows, columns = np.full(6, 1 / 6), np.full(9, 1 / 9)
+    for _ in range(50):
+        rows = rows / (np.exp(-cost / 10) @ columns + 1e-9)
+        columns = columns / (np.exp(-cost / 10).T @ rows + 1e-9)
+    plan = rows[:, None] * np.exp(-cost / 10) * columns
+    found = losses.imbalance(rep, t, "wass", r_alpha=3.0)
+    assert np.allclose(found.plan.data, plan) and found.plan.pull is None
+    assert found.distance.data == pytest.approx((plan * cost).sum()) and found.loss.data == pytest.approx(3 * found.distance.data)
+    assert losses.imbalance(rep, t, "wass", through_plan=True).plan.pull is not None
+    assert losses.imbalance(rep, t, "mmd_lin", r_alpha=2.0).loss.data == pytest.approx(2 * np.sqrt(losses.mmd2_lin(rep, t).data))
+    found.loss.backward()
+    assert rep.grad.shape == (15, 2) and np.isfinite(rep.grad).all()
+    # the gradient goes through the plan
+    up, down = rep.data.copy(), rep.data.copy()
+    up[2, 1] += 1e-6
+    down[2, 1] -= 1e-6
+    slope = (losses.compute_imbalance(Tensor(up), t, "wass", r_alpha=3.0).data - losses.compute_imbalance(Tensor(down), t, "wass", r_alpha=3.0).data) / 2e-6
+    assert rep.grad[2, 1] == pytest.approx(slope, rel=1e-4)
+
+
+def test_options_of_the_counterfactual_loss():
+    rng = np.random.default_rng(4)
+    t = np.array([[1.0], [0.0]] * 8)
+    y, e, rep = rng.random((16, 1)), rng.uniform(0.2, 0.8, (16, 1)), Tensor(rng.normal(size=(16, 2)))
+    call = lambda **options: float(losses.CFRLoss(**options)(Tensor(y), Tensor(y), t, y, rep=rep, weights=[Tensor([[2.0]])], rep_weights=[Tensor([[3.0]])], propensity=e).data)
+    assert call(p_lambda=0.5, r_lambda=2.0) == pytest.approx(4) and call(p_lambda=0.5, rep_weight_decay=True) == pytest.approx(6.5)
+    assert call(p_alpha=1.0, r_alpha=2.0) == pytest.approx(2 * losses.mmd2_lin(rep, t).data)
+    assert call(p_alpha=1.0, use_p_correction=True) == pytest.approx(losses.mmd2_lin(rep, t, e).data)
+    far = losses.CFRLoss("log")(Tensor([[50.0]]), Tensor([[50.0]]), np.ones((1, 1)), np.zeros((1, 1))).data
+    assert far == pytest.approx(-np.log(0.0025))
+
+
 def test_batch_norm_predicts_from_running_statistics():
     from liftloom.nn import models
     from liftloom.nn.train import Adam, steps
