@@ -230,7 +230,10 @@ def mmd2_rbf(rep: Tensor, t: np.ndarray, e: np.ndarray | None = None, sigma: flo
 
 
 def wasserstein(rep: Tensor, t: np.ndarray, lam: float = 10.0, its: int = 50, sq: bool = False) -> tuple[Tensor, Tensor]:
-    """Entropic optimal transport between the arms from uniform weights: the distance and the plan [treated, control]."""
+    """Entropic optimal transport between the arms, each row of an arm weighing the same: the distance and the plan [treated, control].
+
+    Each half step scales anew to the arm's weights, so the plan keeps them and no number of iterations overflows.
+    """
     a, b, *_ = _groups(rep, t, None)
     n1, n0 = a.shape[0], b.shape[0]
     if not n1 or not n0:
@@ -238,10 +241,11 @@ def wasserstein(rep: Tensor, t: np.ndarray, lam: float = 10.0, its: int = 50, sq
     cost = T.clip(_distances2(a, b), 0.0, np.inf)
     cost = cost if sq else T.safe_sqrt(cost)
     kernel = T.exp(cost * (-1 / lam))
-    rows, columns = Tensor(np.full((n1, 1), 1 / n1)), Tensor(np.full((n0, 1), 1 / n0))
+    one, zero = Tensor(np.full((n1, 1), 1 / n1)), Tensor(np.full((n0, 1), 1 / n0))
+    rows, columns = one, zero
     for _ in range(max(1, its)):
-        rows = rows / (kernel @ columns + 1e-9)
-        columns = columns / (kernel.T @ rows + 1e-9)
+        rows = one / (kernel @ columns + 1e-9)
+        columns = zero / (kernel.T @ rows + 1e-9)
     plan = rows * kernel * columns.T
     return (cost * plan).sum(), plan
 

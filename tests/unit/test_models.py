@@ -309,11 +309,12 @@ def test_transport_plan_and_scaled_imbalance():
     cost = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
     rows, columns = np.full(6, 1 / 6), np.full(9, 1 / 9)
     for _ in range(50):
-        rows = rows / (np.exp(-cost / 10) @ columns + 1e-9)
-        columns = columns / (np.exp(-cost / 10).T @ rows + 1e-9)
+        rows = 1 / 6 / (np.exp(-cost / 10) @ columns + 1e-9)
+        columns = 1 / 9 / (np.exp(-cost / 10).T @ rows + 1e-9)
     plan = rows[:, None] * np.exp(-cost / 10) * columns
     found = losses.imbalance(rep, t, "wass", r_alpha=3.0)
     assert np.allclose(found.plan.data, plan) and found.plan.pull is None
+    assert np.allclose(plan.sum(0), 1 / 9) and np.allclose(plan.sum(1), 1 / 6)
     assert found.distance.data == pytest.approx((plan * cost).sum()) and found.loss.data == pytest.approx(3 * found.distance.data)
     assert losses.imbalance(rep, t, "wass", through_plan=True).plan.pull is not None
     assert losses.imbalance(rep, t, "mmd_lin", r_alpha=2.0).loss.data == pytest.approx(2 * np.sqrt(losses.mmd2_lin(rep, t).data))
