@@ -550,6 +550,28 @@ def test_license_scan(spark, docs, empty):
     assert all(kept & set(range(i, i + 4)) for i in range(47))
 
 
+def test_outermost_matches():
+    from liftloom.llm.license_scan import outermost
+
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        found = [(int(a), int(a + n), int(t), int(m), 30) for a, n, t, m in zip(rng.integers(0, 40, 25), rng.integers(1, 20, 25), rng.integers(0, 3, 25), rng.integers(1, 20, 25), strict=True)]
+        best = []
+        for f in sorted(set(found), key=lambda f: (-f[3], f[4], f[0], f[2])):
+            if not any(g[0] <= f[0] and f[1] <= g[1] for g in best):
+                best.append(f)
+        assert outermost(found) == sorted(best)
+
+
+def test_whole_license_texts(spark):
+    from liftloom.llm.license_scan import TEMPLATES, license_scan
+
+    texts = {name: body for name, body in TEMPLATES.items() if name.endswith("-text")}
+    rows = [(i, "Copyright 2020 Someone\n\n" + body + "\n") for i, body in enumerate(texts.values())]
+    got = {(r.doc_id, r.license): r.coverage for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i, name] == 1 for i, name in enumerate(texts))
+
+
 def test_license_scan_of_changed_notices(spark):
     from liftloom.llm.license_scan import LEAST_COVERAGE, TEMPLATES, license_scan
 

@@ -90,3 +90,81 @@ def test_op1_finds_every_notice(spark):
     plain = lambda t: " " + " ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))) + " "
     want = {(i, name) for i, t in documents(spark) for name, body in TEMPLATES.items() if plain(body) in plain(t or "")}
     assert want and want <= got
+
+
+def test_op1_against_brute_force(spark):
+    """Every reported match is a common subsequence of its span; every stretch of a template's length that covers enough of it is reported, or lies within a better match."""
+    from liftloom.llm.license_scan import LEAST_COVERAGE, TEMPLATES
+
+    pattern = re.compile(rb"[0-9a-z\x80-\xff]+")
+    lower = lambda text: bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    wanted = {name: pattern.findall(lower(body)) for name, body in TEMPLATES.items()}
+    got = {}
+    for r in queries.op1_license_scan(spark, SF).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    seen = 0
+    for i, text in documents(spark):
+        raw = lower(text or "")
+        places = [(m.start(), m.end()) for m in pattern.finditer(raw)]
+        words = [raw[a:b] for a, b in places]
+        mine = got.get(i, [])
+        for r in mine:
+            span = [raw[a:b] for a, b in places if r.byte_start <= a and b <= r.byte_end]
+            assert r.n_template == len(wanted[r.license]) and r.coverage == r.n_matched / r.n_template >= LEAST_COVERAGE
+            assert common(wanted[r.license], span) == r.n_matched and span[0] in wanted[r.license] and span[-1] in wanted[r.license]
+        for name, template in wanted.items():
+            n, need, known = len(template), LEAST_COVERAGE * len(template), set(template)
+            inside = [w in known for w in words]
+            for s in range(max(1, len(words) - n + 1)):
+                if sum(inside[s : s + n]) < need or common(template, words[s : s + n]) < need:
+                    continue
+                seen += 1
+                first, last = places[s][0], places[min(s + n, len(words)) - 1][1]
+                assert any(r.byte_start < last and first < r.byte_end and (r.license == name or r.n_matched >= need) for r in mine), (i, name, s)
+    assert seen
+
+
+def test_op5_against_brute_force(spark):
+    """The same machines, walked pair by pair over trigrams in a dictionary."""
+    from liftloom.llm import language_id as L
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = L.fit_language_model(docs)
+    got = {r.doc_id: r for r in queries.op5_language_id(spark, SF).collect()}
+    families = sorted(set(model.families))
+    for i, text in documents(spark):
+        shape = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in (text or "").encode())
+        grams = Counter(shape[j : j + 3] for j in range(len(shape) - 2) if shape[j : j + 3] != b"   ")
+        counts = Counter()
+        for g, n in grams.items():
+            counts[(int.from_bytes(g, "big") * 2654435761 % 2**32) >> 19] += n
+        total = sum(counts.values())
+        margin = [sum((n / total) ** 0.5 * float(w[b]) for b, n in counts.items()) + float(w[-1]) for w in model.weights.T]
+
+        def decide(pairs, margins, members):
+            votes, least = {m: 0.0 for m in members}, {m: 1.0 for m in members}
+            for (a, b), value in zip(pairs, margins, strict=True):
+                p = 1 / (1 + np.exp(-3 * value))
+                for side, q in ((a, p), (b, 1 - p)):
+                    if side in votes:
+                        votes[side] += (q > 0.5) + 0.01 * q
+                        least[side] = min(least[side], q)
+            best = max(members, key=lambda m: (votes[m], -m))
+            return best, least[best]
+
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        k = len(model.family_pairs)
+        family, p = decide(model.family_pairs, margin[:k], range(len(families)))
+        language, q = decide(model.language_pairs, margin[k:], [m for m, f in enumerate(model.families) if families.index(f) == family])
+        assert got[i].lang_pred == model.languages[language] and got[i].score == pytest.approx(p * q, abs=1e-4)
