@@ -82,16 +82,27 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(C.tidied(work), "doc_id long, n_bytes long, sig binary")
 
 
-def copies_of(rows: DataFrame, same: DataFrame) -> np.ndarray:
-    """Sorted ids of documents equal to one with a smaller id, if they number at most ``SKIPPED``; else none.
+def copies_of(rows: DataFrame, same: DataFrame) -> DataFrame:
+    """Ids of documents equal to one with a smaller id.
 
     They lose everything whatever else repeats, so leaving them out of the search only spares work.
     """
     least = rows.where("doc_id is not null").join(same.select("sig", "least"), "sig", "left")
-    gone = C.cut(least.groupBy("doc_id").agg(F.bool_and(F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))).alias("gone")).where("gone").select("doc_id"))
-    if gone.count() > SKIPPED:
-        return np.zeros(0, np.int64)
-    return np.sort(np.array([r.doc_id for r in gone.toLocalIterator()], np.int64))
+    return C.cut(least.groupBy("doc_id").agg(F.bool_and(F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))).alias("gone")).where("gone").select("doc_id"))
+
+
+def searched(docs: DataFrame, gone: DataFrame):
+    """The documents to search, and a broadcast of the sorted ids among them to leave out.
+
+    At most ``SKIPPED`` ids (16 MB) are sent to the tasks; of more the documents are parted by a join, which moves the texts once.
+    """
+    ids, context = np.zeros(0, np.int64), docs.sparkSession.sparkContext
+    if gone.count() <= SKIPPED:
+        ids = np.sort(np.array([r.doc_id for r in gone.toLocalIterator()], np.int64))
+    else:
+        named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
+        docs = C.cut(named.unionByName(docs.where("doc_id is null")))
+    return docs, context.broadcast(ids)
 
 
 def without(batch: pa.RecordBatch, skip: np.ndarray) -> pa.RecordBatch:
@@ -466,11 +477,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = C.cut(describe(docs))
     same = C.cut(rows.where("doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
-    skip = docs.sparkSession.sparkContext.broadcast(copies_of(rows, same))
-    repeated = C.cut(repeated_minimizers(minimizers(docs, skip, blocks)))
+    distinct, skip = searched(docs, copies_of(rows, same))
+    repeated = C.cut(repeated_minimizers(minimizers(distinct, skip, blocks)))
     bits, size = C.membership(repeated, "minimizer", repeated.count())
-    found = C.cut(findings(docs, skip, bits, size, blocks))
-    gone = removals(docs, found, blocks).dropDuplicates(["doc_id", "sig"])
+    found = C.cut(findings(distinct, skip, bits, size, blocks))
+    gone = removals(distinct, found, blocks).dropDuplicates(["doc_id", "sig"])
     placed = C.attach(rows, same, "sig", "copies", rows.count()).drop("copies")
     out = placed.join(gone if full else gone.drop("kept"), ["doc_id", "sig"], "left")
     whole = (F.col("doc_id") > F.col("least")) & (F.col("n_bytes") >= SPAN)

@@ -311,9 +311,12 @@ def removed_spans(rows, span=50):
     return out
 
 
-def test_suffix_dedup(docs, empty):
+@pytest.mark.parametrize("skipped", [1 << 21, 0], ids=["ids sent", "joined"])
+def test_suffix_dedup(docs, empty, monkeypatch, skipped):
+    from liftloom.llm import suffix_dedup as module
     from liftloom.llm.suffix_dedup import suffix_dedup
 
+    monkeypatch.setattr(module, "SKIPPED", skipped)
     want = removed_spans([(r[0], r[1]) for r in rows_of() if r[0] is not None])
     got = suffix_dedup(docs).collect()
     assert len(got) == len(rows_of())
