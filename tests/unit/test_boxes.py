@@ -53,3 +53,8 @@ def expected(w, a, b):
 def test_nearest_euclid(rows):
     df, a, b, x, y = rows
     assert got(m.NearestNeighborMatcher(("a", "b"), n_neighbors=2).edges(df)) == brute(euclid(x, y), a, b, 2)
+
+
+def test_nearest_within_caliper(rows):
+    df, a, b, x, y = rows
+    assert got(m.NearestNeighborMatcher(("a", "b"), n_neighbors=2, caliper=0.02).edges(df)) == brute(euclid(x, y), a, b, 2, 0.02)
