@@ -58,3 +58,13 @@ def test_nearest_euclid(rows):
 def test_nearest_within_caliper(rows):
     df, a, b, x, y = rows
     assert got(m.NearestNeighborMatcher(("a", "b"), n_neighbors=2, caliper=0.02).edges(df)) == brute(euclid(x, y), a, b, 2, 0.02)
+
+
+def test_nearest_cosine(rows):
+    """A zero vector is at distance 1 from all; rounding decides between equal directions, so distances are compared."""
+    df, a, b, x, y = rows
+    df = df.where("row_id < 700").unionByName(df.sparkSession.createDataFrame([(701, 1, 0.0, 0.0), (702, 0, 0.0, 0.0)], df.schema))
+    norm = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)
+    d = 1 - np.divide(x @ y.T, norm, out=np.zeros_like(norm), where=norm > 0)
+    found = {r.treated: r.d for r in m.NearestNeighborMatcher(("a", "b"), metric="cosine").edges(df).collect()}
+    assert found == pytest.approx({int(i): v for i, v in zip(a, np.minimum(d.min(1), 1.0), strict=True)} | {701: 1.0}, abs=1e-12)
