@@ -68,3 +68,9 @@ def test_nearest_cosine(rows):
     d = 1 - np.divide(x @ y.T, norm, out=np.zeros_like(norm), where=norm > 0)
     found = {r.treated: r.d for r in m.NearestNeighborMatcher(("a", "b"), metric="cosine").edges(df).collect()}
     assert found == pytest.approx({int(i): v for i, v in zip(a, np.minimum(d.min(1), 1.0), strict=True)} | {701: 1.0}, abs=1e-12)
+
+
+def test_nearest_manhattan(rows):
+    df, a, b, x, y = rows
+    d = np.abs(x[:, None, 0] - y[None, :, 0]) + np.abs(x[:, None, 1] - y[None, :, 1])
+    assert got(m.NearestNeighborMatcher(("a", "b"), n_neighbors=3, metric="manhattan").edges(df)) == brute(d, a, b, 3)
