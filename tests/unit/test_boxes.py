@@ -74,3 +74,11 @@ def test_nearest_manhattan(rows):
     df, a, b, x, y = rows
     d = np.abs(x[:, None, 0] - y[None, :, 0]) + np.abs(x[:, None, 1] - y[None, :, 1])
     assert got(m.NearestNeighborMatcher(("a", "b"), n_neighbors=3, metric="manhattan").edges(df)) == brute(d, a, b, 3)
+
+
+def test_nearest_mahalanobis(rows):
+    df, a, b, x, y = rows
+    df = df.where("row_id < 700")
+    w = m.whitening(np.cov(np.concatenate([x, y]).T), 1e-6)
+    found = {r.treated: r.d for r in m.MahalanobisMatcher(("a", "b")).edges(df).collect()}
+    assert found == pytest.approx(dict(zip(a.tolist(), euclid(x @ w, y @ w).min(1), strict=True)), abs=1e-9)
