@@ -82,3 +82,9 @@ def test_nearest_mahalanobis(rows):
     w = m.whitening(np.cov(np.concatenate([x, y]).T), 1e-6)
     found = {r.treated: r.d for r in m.MahalanobisMatcher(("a", "b")).edges(df).collect()}
     assert found == pytest.approx(dict(zip(a.tolist(), euclid(x @ w, y @ w).min(1), strict=True)), abs=1e-9)
+
+
+def test_radius_weights(rows):
+    df, a, b, x, y = rows
+    want = expected((euclid(x, y) <= 0.05).astype(float), a, b)
+    assert weights(m.NearestNeighborMatcher(("a", "b"), radius=0.05), df) == pytest.approx(want)
