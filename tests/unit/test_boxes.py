@@ -88,3 +88,22 @@ def test_radius_weights(rows):
     df, a, b, x, y = rows
     want = expected((euclid(x, y) <= 0.05).astype(float), a, b)
     assert weights(m.NearestNeighborMatcher(("a", "b"), radius=0.05), df) == pytest.approx(want)
+
+
+def test_kernel_auto_bandwidth(rows, monkeypatch):
+    df, a, b, x, y = rows
+    d = euclid(x, y)
+    w = np.zeros_like(d)
+    for i in range(len(a)):
+        w[i, np.lexsort((b, d[i]))[:10]] = 1
+    near = d[w > 0]
+    h = np.median(near[near > 0])
+    assert weights(m.KernelMatcher(("a", "b"), candidate_mode="knn", n_neighbors=10), df) == pytest.approx(expected(np.exp(-((d / h) ** 2) / 2) * w, a, b))
+
+
+@pytest.mark.parametrize("n", [1, 4, 7, 150_001, 150_002])
+def test_exact_median(spark, n):
+    df = spark.range(n).selectExpr("cast(pmod(id * 7919, 100003) as double) / 1000 as d")
+    values = (np.arange(n) * 7919 % 100003) / 1000
+    want = np.median(values[values > 0]) if (values > 0).any() else None
+    assert m.median_above(df, "d") == (None if want is None else pytest.approx(want, rel=1e-14))
