@@ -107,3 +107,11 @@ def test_exact_median(spark, n):
     values = (np.arange(n) * 7919 % 100003) / 1000
     want = np.median(values[values > 0]) if (values > 0).any() else None
     assert m.median_above(df, "d") == (None if want is None else pytest.approx(want, rel=1e-14))
+
+
+def test_kernel_gaussian(rows):
+    df, a, b, x, y = rows
+    for h in (0.05, 0.7):
+        u = euclid(x, y) / h
+        want = expected(np.exp(-u * u / 2), a, b)
+        assert weights(m.KernelMatcher(("a", "b"), kernel="gaussian", bandwidth=h), df) == pytest.approx(want, rel=1e-9, abs=1e-300)
