@@ -115,3 +115,17 @@ def test_kernel_gaussian(rows):
         u = euclid(x, y) / h
         want = expected(np.exp(-u * u / 2), a, b)
         assert weights(m.KernelMatcher(("a", "b"), kernel="gaussian", bandwidth=h), df) == pytest.approx(want, rel=1e-9, abs=1e-300)
+
+
+def test_mahalanobis_within_propensity_caliper(rows):
+    """The whole band of one propensity is searched without pairs as rows."""
+    df, a, b, x, y = rows
+    df = df.where("row_id < 700").selectExpr("*", "round(pmod(row_id * 37, 11) / 50, 9) as e")
+    e = lambda ids: np.round(ids * 37 % 11 / 50, 9)
+    both = np.concatenate([x, y])
+    z = [(v - both.mean(0)) / (both.std(0) + 1e-12) for v in (x, y)]
+    w = m.whitening(np.cov(np.concatenate(z).T), 1e-6)
+    d = np.where(np.abs(e(a)[:, None] - e(b)[None, :]) <= 0.025, euclid(z[0] @ w, z[1] @ w), np.inf)
+    edges = m.MahalanobisPSCaliperMatcher(("a", "b"), caliper=0.025).edges(df)
+    assert "Join" not in edges._jdf.queryExecution().executedPlan().toString()
+    assert {r.treated: r.d for r in edges.collect()} == pytest.approx(dict(zip(a.tolist(), d.min(1), strict=True)), abs=1e-9)
