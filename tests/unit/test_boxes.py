@@ -129,3 +129,11 @@ def test_mahalanobis_within_propensity_caliper(rows):
     edges = m.MahalanobisPSCaliperMatcher(("a", "b"), caliper=0.025).edges(df)
     assert "Join" not in edges._jdf.queryExecution().executedPlan().toString()
     assert {r.treated: r.d for r in edges.collect()} == pytest.approx(dict(zip(a.tolist(), d.min(1), strict=True)), abs=1e-9)
+
+
+def test_kernel_epanechnikov(rows):
+    df, a, b, x, y = rows
+    for h in (0.05, 0.7):
+        u = euclid(x, y) / h
+        want = expected(np.where(u <= 1, 0.75 * (1 - u * u), 0), a, b)
+        assert weights(m.KernelMatcher(("a", "b"), kernel="epanechnikov", bandwidth=h), df) == pytest.approx(want, rel=1e-9, abs=1e-300)
