@@ -145,3 +145,11 @@ def test_kernel_triangular(rows):
         u = euclid(x, y) / h
         want = expected(np.where(u <= 1, 1 - u, 0), a, b)
         assert weights(m.KernelMatcher(("a", "b"), kernel="triangular", bandwidth=h), df) == pytest.approx(want, rel=1e-9, abs=1e-300)
+
+
+def test_kernel_uniform(rows):
+    df, a, b, x, y = rows
+    for h in (0.05, 0.7):
+        u = euclid(x, y) / h
+        want = expected(np.where(u <= 1, 1.0, 0), a, b)
+        assert weights(m.KernelMatcher(("a", "b"), kernel="uniform", bandwidth=h), df) == pytest.approx(want, rel=1e-9, abs=1e-300)
