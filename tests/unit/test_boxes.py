@@ -153,3 +153,17 @@ def test_kernel_uniform(rows):
         u = euclid(x, y) / h
         want = expected(np.where(u <= 1, 1.0, 0), a, b)
         assert weights(m.KernelMatcher(("a", "b"), kernel="uniform", bandwidth=h), df) == pytest.approx(want, rel=1e-9, abs=1e-300)
+
+
+def test_lsh_searches_buckets_without_pairs(rows, monkeypatch):
+    """The same edges as the nearest of all pairs of pyspark.ml's join."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSHModel
+
+    df, a, b, x, y = rows
+    lsh = m.LSHBackend(reach=0.2, bucket_length=0.1, tables=2)
+    matcher = m.NearestNeighborMatcher(("a", "b"), n_neighbors=2, backend=lsh)
+    df = df.where("row_id < 700")
+    sides = matcher.side(df, 1, matcher.plain()), matcher.side(df, 0, matcher.plain())
+    want = got(m.nearest(lsh.neighbors(*sides), 2))
+    monkeypatch.setattr(BucketedRandomProjectionLSHModel, "approxSimilarityJoin", lambda *_: pytest.fail("pairs"))
+    assert got(matcher.edges(df)) == want
