@@ -8,7 +8,7 @@ import pytest
 from liftloom.operators import lines
 from liftloom.operators import matching as m
 
-KERNELS = {"epanechnikov": lambda u: np.where(u <= 1, 0.75 * (1 - u * u), 0), "triangular": lambda u: np.where(u <= 1, 1 - u, 0)}
+KERNELS = {"epanechnikov": lambda u: np.where(u <= 1, 0.75 * (1 - u * u), 0), "triangular": lambda u: np.where(u <= 1, 1 - u, 0), "uniform": lambda u: np.where(u <= 1, 1.0, 0)}
 H = 0.05
 
 
