@@ -80,6 +80,10 @@ def test_triangular_rows_go_to_few_boxes(spark, monkeypatch):
     assert max(rows_sent(spark, monkeypatch, "triangular")) < 3
 
 
+def test_uniform_rows_go_to_few_boxes(spark, monkeypatch):
+    assert max(rows_sent(spark, monkeypatch, "uniform")) < 3
+
+
 def test_cut_frees_its_shuffle_files(spark):
     files = lambda: str(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")).count("/shuffle_")
     setting = lambda: spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
