@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import freed
+
 CHUNK_BYTES = 1 << 19
 FLUSH_ENTRIES = 1 << 20
 BLOCK_ENTRIES = 1 << 22
@@ -53,12 +55,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared folder; what follows survives lost executors."""
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
+    """``df`` computed once and written to the shared folder; what follows survives lost executors.  With ``free`` its shuffle files go then."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    if not free:
+        return df.checkpoint(eager=True)
+    with freed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def scratch(spark: SparkSession, label: str) -> str:

@@ -297,8 +297,9 @@ def lm_scores(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per document."""
     docs = folded(docs)
     blocks = C.n_blocks_of(docs)
-    n, v = totals(docs, blocks)
-    begins = docs.where(~F.col("held_out")).count()
+    with C.freed(docs.sparkSession):
+        n, v = totals(docs, blocks)
+        begins = docs.where(~F.col("held_out")).count()
     # Written once, so that the uses below see the same parts whatever executors are lost.
     parts = C.cut(parted(docs, part_bytes))
 
@@ -335,7 +336,7 @@ def lm_scores(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
         })
 
     asked = parts.mapInArrow(C.tidied(ask), "block int, part long, keys1 binary, counts1 binary, keys2 binary, counts2 binary")
-    first = C.cut(answered(asked, (1, 2)))
+    first = C.cut(answered(asked, (1, 2)), free=True)  # frees the requests, the bulk of what is shuffled
     asked = parts.groupBy("part").cogroup(first.groupBy("part")).applyInArrow(ask_shared, "block int, part long, keys3 binary, counts3 binary")
     every = first.unionByName(answered(asked, (3,)), allowMissingColumns=True)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -253,6 +254,19 @@ def test_lm_scores(docs, empty):
     assert nothing and all(r.train_tokens == r.n_known == 0 and r.score == r.base_score == 0 for r in nothing)
 
 
+def test_lm_scores_free_their_requests(spark, docs):
+    from liftloom.llm.lm_score import lm_scores
+
+    files = lambda: str(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")).count("/shuffle_")
+    n, before = docs.count(), files()
+    scores = lm_scores(docs, part_bytes=2000)
+    deadline = time.time() + 20
+    while files() > before and time.time() < deadline:
+        time.sleep(0.2)
+    assert files() <= before
+    assert scores.count() == n
+
+
 def test_lm_counts_beyond_32_bits():
     import pyarrow as pa
 
